@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import leak, packing, survivor
+from larder.llm import abuse, leak, packing, survivor
 from larder.session import read
 
 
@@ -31,5 +31,15 @@ def p8_leak_report(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words_found").alias("most_words"), F.max("words_item").alias("words_item"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_survivors, p7_packed, p8_found, p8_leak_report)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.found(read(spark, d, "documents"), read(spark, d, "review_labels"))
+
+
+def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of unwanted documents per source."""
+    documents = read(spark, d, "documents")
+    return abuse.source_rates(abuse.document_scores(documents, *abuse.train(documents, read(spark, d, "review_labels"))))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_survivors, p7_packed, p8_found, p8_leak_report, p9_found, p9_source_rates)}
 ORACLES: dict[str, str] = {}
