@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import pathlib
 import tempfile
+import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +29,27 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Scan one table of a data directory."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors, once per Spark context."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="larder-code-")) / "larder.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    _shipped.add(sc.applicationId)
+
+
+_shipped: set[str] = set()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for checkpoint(): the cluster's spark.checkpoint.dir if it is set, else (tests, one machine) a new temporary one."""
     sc = spark.sparkContext
@@ -37,7 +59,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write `df` as a Parquet table to the shared checkpoint folder and read it back.
+
+    The table survives the loss of executors, is compressed and can be pruned by column. Tables of a session are removed when
+    the driver ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/larder-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session is gone; the folder's owner cleans up
+            return
