@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import abuse, leak, matching, packing, survivor
+from larder.llm import abuse, leak, linkage, matching, packing, survivor
 from larder.session import read
 
 
@@ -18,6 +18,15 @@ def p2_products(spark: SparkSession, d: str) -> DataFrame:
     return matching.product_groups(read(spark, d, "nutrition_sample"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.found(read(spark, d, "fda_recalls_sample"), read(spark, d, "nutrition_sample"))
+
+
+def p3_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of recalls and catalogue products with their confidence."""
+    return linkage.confidences(read(spark, d, "fda_recalls_sample"), read(spark, d, "nutrition_sample"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivor.found(read(spark, d, "dedup_clusters"), read(spark, d, "source_trust"))
 
@@ -50,5 +59,5 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.source_rates(abuse.document_scores(documents, *abuse.train(documents, read(spark, d, "review_labels"))))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_products, p5_found, p5_survivors, p7_packed, p8_found, p8_leak_report, p9_found, p9_source_rates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_products, p3_found, p3_confidences, p5_found, p5_survivors, p7_packed, p8_found, p8_leak_report, p9_found, p9_source_rates)}
 ORACLES: dict[str, str] = {}
