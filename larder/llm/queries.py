@@ -15,7 +15,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_products(spark: SparkSession, d: str) -> DataFrame:
     """Product of every listing, with the merged attributes."""
-    return matching.product_groups(read(spark, d, "nutrition_sample"))
+    return matching.product_table(read(spark, d, "nutrition_sample"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
