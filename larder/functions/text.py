@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Texts that stand for a missing value in delimited files.
 NA_TEXTS = (
@@ -82,7 +83,7 @@ def from_strptime(fmt: str) -> str | None:
     return "".join(out) if seen else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def literal_to_json(s: pd.Series) -> pd.Series:
     """JSON text of a Python literal (single quotes, None, True); null if it is none."""
     import ast

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions import text as tx
 
@@ -123,7 +124,7 @@ def noise_words(df: DataFrame, column: str, share: float = 0.1) -> DataFrame:
     return counts.crossJoin(F.broadcast(n)).filter((F.col("documents") >= F.col("least")) | F.col("word").isin(*LEGAL)).select("word", "documents")  # n is one row
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _repair(s: pd.Series) -> pd.Series:
     import html
     import json

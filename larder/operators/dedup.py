@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larder.functions import text as tx
 from larder.operators.quality import BOOKKEEPING
@@ -30,7 +31,7 @@ def dedup_key(name: Column) -> Column:
     return tx.squeeze(F.regexp_replace(F.lower(name), rf"\b(?:{'|'.join(STOP_WORDS)})\b", ""))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def pair_score(n1: pd.Series, b1: pd.Series, n2: pd.Series, b2: pd.Series) -> pd.Series:
     """0.5 token-sorted ratio of names + 0.2 ratio of brands + 0.3 token-sorted ratio of both, from 0 to 1."""
     wn, wb, wc = PAIR_WEIGHTS

@@ -182,6 +182,19 @@ def value_map(df: DataFrame, op: Op) -> DataFrame:
     return _put(df, op, to_type(value, op.get("type")))
 
 
+def _value_of(key: str) -> Callable[[Column], Column]:
+    return lambda m: F.try_element_at(m, F.lit(key))
+
+
+def _objects(items: Column, key: str, only: dict | None) -> Column:
+    """The objects of a list that have the key and pass the first pair of the filter, compared without case."""
+    there = F.filter(items, lambda m: m.isNotNull() & F.map_contains_key(m, key))
+    if not only:
+        return there
+    k, v = next(iter(only.items()))
+    return F.filter(there, lambda m: F.lower(F.try_element_at(m, F.lit(k))) == str(v).lower())
+
+
 @_need
 def json_array_extract_multi(df: DataFrame, op: Op) -> DataFrame:
     """Columns from a JSON (or Python literal) list of objects: `key` of the first object that passes the filter, or of all
@@ -189,12 +202,7 @@ def json_array_extract_multi(df: DataFrame, op: Op) -> DataFrame:
     items = F.from_json(tx.json_text(F.col(op["source"])), "array<map<string,string>>")
     out = {}
     for name, spec in op["target_columns"].items():
-        key = spec["key"]
-        match = F.filter(items, lambda m, key=key: m.isNotNull() & F.map_contains_key(m, F.lit(key)))
-        if spec.get("filter"):
-            k, v = next(iter(spec["filter"].items()))
-            match = F.filter(match, lambda m, k=k, v=v: F.lower(F.try_element_at(m, F.lit(k))) == str(v).lower())
-        values = F.transform(match, lambda m, key=key: F.try_element_at(m, F.lit(key)))
+        values = F.transform(_objects(items, spec["key"], spec.get("filter")), _value_of(spec["key"]))
         joined = F.when(F.size(F.array_compact(values)) > 0, F.array_join(values, ", "))
         out[name] = to_type(joined if spec.get("join_all") else F.get(values, F.lit(0)), spec.get("type"))
     return df.withColumns(out)
@@ -252,10 +260,7 @@ def extract_json_field(df: DataFrame, op: Op) -> DataFrame:
     js = tx.json_text(raw)
     key = op["key"]
     one = F.try_element_at(F.from_json(js, "map<string,string>"), F.lit(key))
-    items = F.filter(F.from_json(js, "array<map<string,string>>"), lambda m: m.isNotNull() & F.map_contains_key(m, F.lit(key)))
-    if op.get("filter"):
-        k, v = next(iter(op["filter"].items()))
-        items = F.filter(items, lambda m: F.lower(F.try_element_at(m, F.lit(k))) == str(v).lower())
+    items = _objects(F.from_json(js, "array<map<string,string>>"), key, op.get("filter"))
     value = F.when(js.isNull() | (tx.strip(raw) == "null"), raw).when(tx.strip(js).startswith("["), F.try_element_at(F.get(items, F.lit(0)), F.lit(key))).otherwise(one)
     return _put(df, op, to_type(value, op.get("type")))
 
