@@ -66,12 +66,12 @@ def a_also_bought(spark, d):
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    p = read(spark, d, "part").select(F.col("p_brand").alias("product_id"), F.col("p_type").alias("category")).groupBy("product_id").agg(F.min("category").alias("category"))
+    p = read(spark, d, "part").select("p_partkey", F.col("p_brand").alias("product_id"), F.col("p_type").alias("category")).groupBy("product_id").agg(F.min_by("category", F.col("p_partkey")).alias("category"))
     nodes, edges = recommend.product_graph(p, _brand_rules(spark, d), "product_id", "category")
     return cut(nodes), cut(edges)
 
 
-_GRAPH = f"with recursive {_BRAND}, p as (select p_brand id, min(p_type) category from part group by 1)".replace(", p as (select x.i a", ", pp as (select x.i a").replace("from p join c ca on ca.i = p.a join c cb on cb.i = p.b, n where p.n", "from pp p join c ca on ca.i = p.a join c cb on cb.i = p.b, n where p.n")
+_GRAPH = f"with recursive {_BRAND}, p as (select p_brand id, arg_min(p_type, p_partkey) category from part group by 1)".replace(", p as (select x.i a", ", pp as (select x.i a").replace("from p join c ca on ca.i = p.a join c cb on cb.i = p.b, n where p.n", "from pp p join c ca on ca.i = p.a join c cb on cb.i = p.b, n where p.n")
 _GRAPH += ", e as (select id src, 'category:' || category dst, 'belongs_to' edge_type, 1.0::double weight from p union all select antecedent, consequent, 'co_purchase', max(lift) from rules where antecedent in (select id from p) and consequent in (select id from p) group by 1, 2)"
 
 
@@ -93,12 +93,12 @@ def g_cross_category(spark, d):
 
 @query(
     """with recursive e as (select distinct l_suppkey src, l_suppkey % 7 * 11 + l_linenumber dst from lineitem where l_quantity >= 48), p as (select distinct src source from e where src % 10 = 0), r as (select source, source node, 0 hops from p union select r.source, e.dst, r.hops + 1 from r join e on e.src = r.node where r.hops < 6)
-    select source, cast(33 as bigint) as target, cast(min(hops) as integer) as hops from r where node = 33 group by source"""
+    select source, cast(36 as bigint) as target, cast(min(hops) as integer) as hops from r where node = 36 group by source"""
 )
 def g_shortest_path(spark, d):
     l = read(spark, d, "lineitem").filter("l_quantity >= 48")
     e = l.select(F.col("l_suppkey").alias("src"), (F.pmod("l_suppkey", F.lit(7)) * 11 + F.col("l_linenumber")).cast("long").alias("dst")).distinct()
-    pairs = e.filter("src % 10 = 0").select(F.col("src").alias("source"), F.lit(33).cast("long").alias("target"))
+    pairs = e.filter("src % 10 = 0").select(F.col("src").alias("source"), F.lit(36).cast("long").alias("target"))
     return recommend.shortest_paths(e, pairs, most=6).select("source", "target", "hops")
 
 
@@ -159,7 +159,7 @@ def nearest_by_number(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
 
 @query(
     """with j as (select o_custkey query_id, case o_orderpriority when '1-URGENT' then 3 when '2-HIGH' then 2 when '3-MEDIUM' then 1 else 0 end gain, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rank from orders), t as (select * from j where rank <= 10), i as (select *, row_number() over (partition by query_id order by gain desc, rank) p from t)
-    select query_id, round(coalesce(sum(gain / log2(rank + 1)) / nullif(sum(gain / log2(p + 1)), 0), 0), 4) as ndcg, round(coalesce(1.0 / min(case when gain >= 2 then rank end), 0), 4) as rr from i group by 1"""
+    select query_id, round(coalesce(sum(gain / log2(rank + 1)) / nullif(sum(gain / log2(p + 1)), 0), 0), 6) as ndcg, round(coalesce(1.0::double / min(case when gain >= 2 then rank end), 0), 6) as rr from i group by 1"""
 )
 def s_ranking_metrics(spark, d):
     from pyspark.sql import Window as W
@@ -167,7 +167,7 @@ def s_ranking_metrics(spark, d):
     o = read(spark, d, "orders")
     gain = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).when(F.col("o_orderpriority") == "3-MEDIUM", 1).otherwise(0)
     j = o.select(F.col("o_custkey").alias("query_id"), gain.alias("gain"), F.row_number().over(W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
-    return search.ranking_metrics(j, "query_id").select("query_id", F.round("ndcg", 4).alias("ndcg"), F.round("rr", 4).alias("rr"))
+    return search.ranking_metrics(j, "query_id")
 
 
 _LOGS = "l as (select * from (select *, row_number() over (partition by run_id order by updated_at desc) i from api_runs) where i = 1)"
@@ -187,9 +187,9 @@ def o_run_summary(spark, d):
     return observe.run_summary(_logs(spark, d)).withColumn("mean_delta", F.round("mean_delta", 4))
 
 
-@query(f"with {_LOGS} select source, count(*) as runs, cast(sum(rows_in) as bigint) as rows_in, cast(sum(rows_out) as bigint) as rows_out, max(dq_delta) as best_delta, min(dq_delta) as worst_delta, round(sum(rows_quarantined) / nullif(sum(rows_in), 0), 4) as quarantine_share from l group by 1")
+@query(f"with {_LOGS} select source, count(*) as runs, cast(sum(rows_in) as bigint) as rows_in, cast(sum(rows_out) as bigint) as rows_out, max(dq_delta) as best_delta, min(dq_delta) as worst_delta, round(sum(rows_quarantined) / nullif(sum(rows_in), 0), 6) as quarantine_share from l group by 1")
 def o_source_summary(spark, d):
-    return observe.source_summary(_logs(spark, d)).select("source", "runs", "rows_in", "rows_out", "best_delta", "worst_delta", F.round("quarantine_share", 4).alias("quarantine_share"))
+    return observe.source_summary(_logs(spark, d)).select("source", "runs", "rows_in", "rows_out", "best_delta", "worst_delta", "quarantine_share")
 
 
 @query(f"with {_LOGS}, k as (select source, run_id, row_number() over (partition by source order by started_at desc, run_id) recent from l) select source, run_id, cast(recent as integer) as recent from k where recent <= 3")

@@ -36,6 +36,14 @@ def _on(df: DataFrame, columns: Sequence[str], f) -> DataFrame:
     return df.withColumns({c: f(F.col(c)) for c in columns if c in df.columns})
 
 
+def _unless_empty(df: DataFrame, columns: Sequence[str], f) -> DataFrame:
+    """Columns replaced by `f` of them where that is not empty. The value has a projection of its own, so that a chain of
+    blocks does not repeat its expression in every branch."""
+    there = [c for c in columns if c in df.columns]
+    df = df.withColumns({f"_{c}": f(F.col(c)) for c in there})
+    return df.withColumns({c: F.when(F.col(f"_{c}") == "", F.col(c)).otherwise(F.col(f"_{c}")) for c in there}).drop(*[f"_{c}" for c in there])
+
+
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Rename in one go; of columns that get the same name the last one stays."""
     new = [mapping.get(c, c) for c in df.columns]
@@ -60,16 +68,13 @@ def lowercase_brand(df: DataFrame, column: str = "brand_name") -> DataFrame:
 def remove_noise_words(df: DataFrame, columns: Sequence[str] = ("product_name", "brand_name"), words: Sequence[str] = LEGAL) -> DataFrame:
     """Without legal forms; a text of nothing else stays as it is."""
 
-    def clean(c: Column) -> Column:
-        out = tx.strip(F.regexp_replace(c, rf"(?i)\b(?:{'|'.join(words)})\b\.?", ""))
-        return F.when(out == "", c).otherwise(out)
-
-    return _on(df, columns, clean)
+    return _unless_empty(df, columns, lambda c: tx.strip(F.regexp_replace(c, rf"(?i)\b(?:{'|'.join(words)})\b\.?", "")))
 
 
 def strip_punctuation(df: DataFrame, columns: Sequence[str] = ("product_name", "brand_name")) -> DataFrame:
     """Punctuation as spaces, single spaces; an empty text stays as it is."""
-    return _on(df, columns, lambda c: F.when(c == "", c).otherwise(tx.strip(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))))
+    df = _on(df, columns, lambda c: F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
+    return _on(df, columns, tx.strip)
 
 
 def keep_quantity_in_name(df: DataFrame) -> DataFrame:
@@ -83,8 +88,9 @@ def extract_quantity(df: DataFrame, column: str = "product_name", into: str = "s
     p = rf"(?i)([0-9]+\.?[0-9]*)\s*({'|'.join(QUANTITY_UNITS)})\b"
     c = F.col(column)
     found = F.zip_with(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.regexp_extract_all(c, F.lit(p), F.lit(2)), lambda a, b: F.concat_ws(" ", a, F.lower(b)))
-    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, p, ""), r"\s+", " "), r"^[,\s]+|[,\s]+$", "")
-    return df.withColumns({into: F.when(F.size(found) > 0, F.array_join(found, "; ")), column: F.when(rest == "", c).otherwise(rest)})
+    rest = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, p, ""), r"\s+", " "), r"^[,\s]+|[,\s]+$", "")
+    df = df.withColumn("_found", found).withColumn(into, F.when(F.size("_found") > 0, F.array_join("_found", "; "))).drop("_found")
+    return _unless_empty(df, [column], rest)
 
 
 def extract_allergens(df: DataFrame, columns: Sequence[str] = ("ingredients", "recall_reason"), into: str = "allergens") -> DataFrame:
