@@ -60,4 +60,17 @@ def p9_source_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_products, p3_found, p3_confidences, p5_found, p5_survivors, p7_packed, p8_found, p8_leak_report, p9_found, p9_source_rates)}
-ORACLES: dict[str, str] = {}
+_MISSING = ", ".join(f"'{w}'" for w in survivor.MISSING)
+_STRIP = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+#: Each real value against every other member's, written out as the definition says.
+_P5 = f"""with c as (select run_id, cluster_id, arg_max(members, id) members from dedup_clusters group by 1, 2),
+    m as (select run_id, cluster_id, unnest(json_extract(members, '$[*]')) j from c where json_valid(members)),
+    f as (select distinct run_id, cluster_id, field_name, cast(json_extract_string(j, '$.member_id') as bigint) member_id, json_extract_string(j, '$.' || field_name) v, lower(trim(json_extract_string(j, '$.data_source'))) s, trim(json_extract_string(j, '$.published_date')) d
+        from m, (select unnest(['product_name', 'brand_name', 'ingredients', 'food_category']) field_name)),
+    t as (select lower(trim(data_source)) s, min(trust_rank) r from source_trust group by 1),
+    g as (select f.*, coalesce(t.r, 2147483647) r, length({_STRIP.format("v")}) n, coalesce(case when regexp_matches(d, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}($|[T ])') then try_cast(d[1:10] as date) when regexp_matches(d, '^[0-9]{{8}}$') then try_strptime(d, '%Y%m%d')::date
+        when regexp_matches(d, '^[0-9]{{9,10}}$') then to_timestamp(cast(d as bigint))::timestamp::date else try_strptime(d, '%d %b %Y')::date end, date '0001-01-01') dt
+        from f left join t using (s) where v is not null and lower({_STRIP.format("v")}) not in ({_MISSING}))
+    select run_id, cluster_id, field_name, member_id from g a where not exists (select 1 from g b where b.run_id = a.run_id and b.cluster_id = a.cluster_id and b.field_name = a.field_name and b.member_id <> a.member_id
+        and not (a.dt >= b.dt and a.r <= b.r and a.n >= b.n and (a.dt > b.dt or a.r < b.r or a.n > b.n)))"""
+ORACLES: dict[str, str] = {"p5_found": _P5}
