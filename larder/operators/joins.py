@@ -1,4 +1,4 @@
-"""Joins with the reference's meaning of nulls and of first matches."""
+"""Joins in which nulls can match and the first match counts."""
 
 from __future__ import annotations
 
