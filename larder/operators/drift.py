@@ -101,7 +101,7 @@ def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
     readable field in any record still counts as a batch if its `_fields` are empty arrays, not if they are null. A removed
     and an added field of one batch are one rename if names and values are alike enough (each field at most once, the
     likest first): half the share of common word starts of the names, half the common share of their value words, for
-    numbers the closeness of their mean. A type is that of most non-null values (ties: first in the alphabet); a batch in
+    numbers the closeness of their mean; texts of like names need a like length only. A type is that of most non-null values (ties: first in the alphabet); a batch in
     which a field has only nulls keeps the type of the batch before. Empty input gives no rows.
     """
     key = ["table_name", "feed"]
@@ -112,6 +112,7 @@ def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
         F.min("batch_order").alias("batch_order"),
         *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(f"n_{k}") for k in ("array", "boolean", "number", "object", "string")],
         F.avg(number).alias("mean"),
+        F.avg(F.length("value")).alias("mean_length"),
         F.avg(F.when(number > 0, F.log10(number))).alias("log_mean"),
     )
     per = cut(per)  # one row per field and batch; read several times below
@@ -123,14 +124,15 @@ def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
     field = W.partitionBy(*key, "field_name").orderBy("at")
     seen = per.filter(F.col("field_name").isNotNull()).drop("batch_order").withColumn("kind", kind).join(batches, [*key, "batch_name"])
     seen = seen.withColumn("known", F.last("kind", True).over(field)).withColumns({"before_at": F.lag("at").over(field), "after_at": F.lead("at").over(field), "before_known": F.lag("known").over(field)})
-    added = seen.filter((F.col("at") > 1) & (F.coalesce("before_at", F.lit(0)) != F.col("at") - 1)).select(*key, "batch_name", "at", "field_name", F.col("kind").alias("k"), "mean", "log_mean", F.col("batch_name").alias("value_batch"))
-    removed = seen.filter(F.col("next_batch").isNotNull() & (F.coalesce("after_at", F.lit(0)) != F.col("at") + 1)).select(*key, F.col("next_batch").alias("batch_name"), (F.col("at") + 1).alias("at"), "field_name", F.col("known").alias("k"), "mean", "log_mean", F.col("batch_name").alias("value_batch"))
+    added = seen.filter((F.col("at") > 1) & (F.coalesce("before_at", F.lit(0)) != F.col("at") - 1)).select(*key, "batch_name", "at", "field_name", F.col("kind").alias("k"), "mean", "log_mean", "mean_length", F.col("batch_name").alias("value_batch"))
+    removed = seen.filter(F.col("next_batch").isNotNull() & (F.coalesce("after_at", F.lit(0)) != F.col("at") + 1)).select(*key, F.col("next_batch").alias("batch_name"), (F.col("at") + 1).alias("at"), "field_name", F.col("known").alias("k"), "mean", "log_mean", "mean_length", F.col("batch_name").alias("value_batch"))
     retyped = seen.filter((F.col("before_at") == F.col("at") - 1) & (F.col("kind") != F.col("before_known")))
 
     a, r = added.alias("a"), removed.alias("r")
     pairs = r.join(a, [*key, "batch_name", "at"]).select(
         *key, "batch_name", F.col("r.field_name").alias("old"), F.col("a.field_name").alias("new"), F.col("r.k").alias("old_k"), F.col("a.k").alias("new_k"),
         F.col("r.mean").alias("old_mean"), F.col("a.mean").alias("new_mean"), F.col("r.log_mean").alias("old_log"), F.col("a.log_mean").alias("new_log"), F.col("r.value_batch").alias("old_batch"),
+        (F.least("r.mean_length", "a.mean_length") / F.nullif(F.greatest("r.mean_length", "a.mean_length"), F.lit(0.0))).alias("by_length"),
     )
     pairs = cut(pairs)
     # Value words only of the fields of such pairs: digits as 9, as shares of all words of the field in the batch.
@@ -155,7 +157,7 @@ def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
     free = (F.col("old_k") == F.col("new_k")) & (rate | (F.col("old_k") != "number"))
     scored = pairs.join(common, [*key, "batch_name", "old", "new"], "left").withColumns({"by_name": by_name, "by_value": by_value})
     scored = scored.withColumn("score", (F.col("by_name") + F.col("by_value")) / 2)
-    scored = scored.filter((F.col("score") >= like) | ((F.col("by_name") >= 0.5) & (F.col("by_value") >= 0.1)) | (free & (F.col("by_value") >= 0.25)))
+    scored = scored.filter((F.col("score") >= like) | ((F.col("by_name") >= 0.5) & ((F.col("by_value") >= 0.1) | ((F.col("old_k") == "string") & (F.col("new_k") == "string") & (F.coalesce("by_length", F.lit(0.0)) >= 0.5)))) | (free & (F.col("by_value") >= 0.25)))
     best = W.partitionBy(*key, "batch_name", "old").orderBy(F.desc("score"), "new")
     back = W.partitionBy(*key, "batch_name", "new").orderBy(F.desc("score"), "old")
     renamed = scored.withColumns({"i": F.row_number().over(best), "j": F.row_number().over(back)}).filter("i = 1 and j = 1").select(*key, "batch_name", "old", "new", "old_k", "new_k")
