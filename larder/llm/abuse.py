@@ -27,7 +27,9 @@ from larder.llm.text import fold, mend
 DIM = 1 << 16
 LAMBDA = 0.6
 #: Decision value from which a document counts as unwanted.
-THRESHOLD = 0.05
+THRESHOLD = -0.25
+#: Weight of a sentence that stands word for word in many documents, against other negatives.
+FURNITURE_WEIGHT = 300.0
 #: Offsets of the characters of a subsequence from its first one: three letters in a span of five, four in a span of five.
 SHAPES = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
 _PAD = 5
@@ -216,7 +218,7 @@ def train(documents: DataFrame | None, labels: DataFrame | None, max_documents:
         neg = [neg[i] for i in np.concatenate([hard, rest]).astype(int)]
         units = seed_units + pos + neg
         y = np.concatenate([seed_labels, np.ones(len(pos)), -np.ones(len(neg))])
-        times = np.array([20.0 if v < 0 and u in furniture else 1.0 for u, v in zip(units, y)])
+        times = np.array([FURNITURE_WEIGHT if v < 0 and u in furniture else 1.0 for u, v in zip(units, y)])
         weights, bias = train_svm(units, y, times=times)
     return weights, bias
 

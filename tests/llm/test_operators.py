@@ -197,4 +197,4 @@ def test_abuse_held_out(spark):
     scored = abuse.document_scores(docs, *abuse.train(None, None))
     by = {r.doc_id: r.score for r in scored.collect()}
     assert by[1] > 0.2 and by[3] is None and by[4] is None and by[5] is None
-    assert {r.source: (r.documents, r.unwanted) for r in abuse.source_rates(scored).collect()} == {"s": (2, 1), None: (1, 0), "t": (2, 0)}
+    assert {r.source: (r.documents, r.unwanted) for r in abuse.source_rates(scored, 0.0).collect()} == {"s": (2, 1), None: (1, 0), "t": (2, 0)}
