@@ -158,7 +158,7 @@ def leaks_of(text: str, items: Items, share: float, min_seeds: int = 3) -> list[
     return out
 
 
-def find_leaks(docs: DataFrame, tests: DataFrame, share: float = 1 / 3, block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, tests: DataFrame, share: float = 1 / 3, block_chars: int = 400_000) -> DataFrame:
     """One row (doc_id, item_id, words_found, words_item) per document and item of which it holds a running passage of at
     least `share` of the item's words. Null or empty texts and items without a letter or digit give no rows; copies of a
     document each get their rows; repeated items with one id give one row."""
