@@ -2,11 +2,11 @@ import os
 
 import pytest
 
-from larder import analytics_queries, catalog_queries, queries
+from larder import analytics_queries, catalog_queries, queries, report_queries
 from tests import oracle
 
-ALL = queries.QUERIES | catalog_queries.QUERIES | analytics_queries.QUERIES
-SQL = queries.ORACLES | catalog_queries.ORACLES | analytics_queries.ORACLES
+ALL = queries.QUERIES | catalog_queries.QUERIES | analytics_queries.QUERIES | report_queries.QUERIES
+SQL = queries.ORACLES | catalog_queries.ORACLES | analytics_queries.ORACLES | report_queries.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no test data")
 
 
