@@ -26,10 +26,10 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, n, mean, std, min, p25, p50, p75, max) of numeric columns, exact percentiles with linear interpolation."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")).select("p.*")
-    return long.groupBy("column_name").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.lit(0.25)).alias("p25"),
-        F.percentile("v", F.lit(0.5)).alias("p50"), F.percentile("v", F.lit(0.75)).alias("p75"), F.max("v").alias("max"),
+    out = long.groupBy("column_name").agg(
+        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p"), F.max("v").alias("max"),
     )
+    return out.select("column_name", "n", "mean", "std", "min", *[F.get("_p", F.lit(i)).alias(c) for i, c in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def histogram(df: DataFrame, column: str, edges: Sequence[float]) -> DataFrame:
