@@ -88,15 +88,17 @@ def number_of(text: Column) -> Column:
     t = F.when(t.startswith("{"), F.coalesce(F.get_json_object(t, "$.rate"), F.get_json_object(t, "$.value"))).otherwise(t)
     plain = F.regexp_replace(t, r"^([+-]?[0-9]*),([0-9]+)(?=%|$)", "$1.$2")
     share = F.rtrim(F.regexp_extract(plain, r"^([^%]*)%$", 1)).try_cast("double") / 100
-    number = F.coalesce(F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.try_cast("double")), share)
+    # Most texts are plain numbers, which a cast alone reads; a cast would also take suffixes, so the last character must be a digit.
+    quick = text.try_cast("double")
+    is_quick = quick.isNotNull() & ~F.isnan(quick) & (F.abs(quick) < float("inf")) & F.right(F.rtrim(text), F.lit(1)).between("0", "9")
+    number = F.coalesce(F.when(is_quick, quick), F.when(plain.rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"), plain.try_cast("double")), share)
     return number
 
 
 def trace_values(df: DataFrame) -> DataFrame:
     """Rates of block_trace: table_name, source, run_id, at, block_name, column_name, text. Unreadable objects give no rows."""
     m = F.expr("from_json(null_rates, 'map<string,string>')")
-    start = F.min("ts").over(W.partitionBy("source", "run_id"))
-    return df.withColumn("at", start).select(F.lit("block_trace").alias("table_name"), "source", "run_id", F.col("at").cast("string").alias("at"), "block_name", F.explode(m).alias("column_name", "text"))
+    return df.filter("null_rates is not null").select(F.lit("block_trace").alias("table_name"), "source", "run_id", F.col("ts").cast("string").alias("at"), "block_name", F.explode(m).alias("column_name", "text"))
 
 
 def score_values(df: DataFrame) -> DataFrame:
