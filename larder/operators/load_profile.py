@@ -98,13 +98,13 @@ def number_of(text: Column) -> Column:
 def trace_values(df: DataFrame) -> DataFrame:
     """Rates of block_trace: table_name, source, run_id, at, block_name, column_name, text. Unreadable objects give no rows."""
     m = F.expr("from_json(null_rates, 'map<string,string>')")
-    return df.filter("null_rates is not null").select(F.lit("block_trace").alias("table_name"), "source", "run_id", F.col("ts").cast("string").alias("at"), "block_name", F.explode(m).alias("column_name", "text"))
+    return df.filter("null_rates is not null").select(F.lit("block_trace").alias("table_name"), "source", "run_id", F.col("ts").cast("timestamp").alias("at"), "block_name", F.explode(m).alias("column_name", "text"))
 
 
 def score_values(df: DataFrame) -> DataFrame:
     """Scores of api_runs in the same form, one pseudo block."""
     long = unpivot(df.select("source", "run_id", "started_at", "dq_score_pre", "dq_score_post"), ["source", "run_id", "started_at"], ["dq_score_pre", "dq_score_post"])
-    return long.select(F.lit("api_runs").alias("table_name"), "source", "run_id", F.col("started_at").alias("at"), F.lit("").alias("block_name"), "column_name", F.col("value").alias("text"))
+    return long.select(F.lit("api_runs").alias("table_name"), "source", "run_id", F.col("started_at").try_cast("timestamp").alias("at"), F.lit("").alias("block_name"), "column_name", F.col("value").alias("text"))
 
 
 def load_profile(values: DataFrame, top: float, around: int = 10) -> DataFrame:
