@@ -13,6 +13,7 @@ of reviewed documents as negative, and the machine is trained again.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 
 from larder.llm.abuse_sentences import ABUSIVE, HARMLESS
 from larder.llm.text import fold, mend
+from larder.session import cut
 
 DIM = 1 << 16
 LAMBDA = 0.6
 #: Decision value from which a document counts as unwanted.
 THRESHOLD = -0.25
-#: Weight of a sentence that stands word for word in many documents, against other negatives.
+#: Weight of a sentence that stands word for word in many different documents, against other negatives.
 FURNITURE_WEIGHT = 300.0
 #: Offsets of the characters of a subsequence from its first one: three letters in a span of five, four in a span of five.
 SHAPES = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
@@ -159,13 +161,57 @@ def train_svm(units: list[str], labels: np.ndarray, landmarks: int = 300, c: flo
     return (marks @ (root @ w[:-1])).astype(np.float32), float(w[-1])
 
 
+def _code(text: str) -> int:
+    """64-bit code of a text, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def frequent(documents: DataFrame, share: float = 0.003, least: int = 5) -> set[int]:
+    """Codes of the normalised sentences that stand in at least `share` and `least` of all documents, documents of the same
+    sentences counted as one. At most sentences a document / `share` of them come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copies, units = [], []
+            for t in b["text"].to_pylist():
+                codes = [_code(u) for u in dict.fromkeys(sentences(t))] if t else []
+                if codes:
+                    # A null stands for the document itself.
+                    copies += [_code(" ".join(map(str, codes)))] * (len(codes) + 1)
+                    units += [*codes, None]
+            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(units, pa.int64())], names=["copy", "unit"])
+
+    counts = documents.select("text").mapInArrow(run, "copy long, unit long").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(counts.filter(F.col("unit").isNull() | (F.col("n") >= least)))
+    whole = counts.filter("unit is null").first()
+    return {r["unit"] for r in counts.filter(F.col("unit").isNotNull() & (F.col("n") >= share * whole["n"])).collect()} if whole else set()
+
+
+def accused(texts: list[str], owner: np.ndarray, shares: np.ndarray, f: np.ndarray, high: float = 0.6) -> set[str]:
+    """Sentences on the abusive side, of `texts` with their document, its share of "unwanted" (below zero: no verdict) and their
+    machine value. "fine" speaks of all sentences of a document, "unwanted" of the worst by the machine, if possible among those
+    that no fine document has. Whatever the verdicts, a value of at least `high` counts; the built-in sentences' machine gives
+    harmless templates up to about 0.5."""
+    fine = {t for t, s in zip(texts, shares) if 0 <= s < 0.5}
+    balance, value = dict.fromkeys(texts, 0), dict(zip(texts, f))
+    worst: dict[int, str] = {}
+    for t, o, s in zip(texts, owner.tolist(), shares):
+        if 0 <= s < 0.5:
+            balance[t] -= 1
+        elif s > 0.5:
+            worst[o] = max(t, worst.get(o, t), key=lambda x: (x not in fine, value[x]))
+    for t in worst.values():
+        balance[t] += 1
+    return {t for t, n in balance.items() if n > 0 or value[t] >= high}
+
+
 def train(documents: DataFrame | None, labels: DataFrame | None, max_documents: int = 8000, max_unlabelled: int = 4000, max_sentences: int = 7000, rounds: int = 5) -> tuple[np.ndarray, float]:
     """Train on the built-in sentences and on reviewed documents: at most `max_documents` of them (in the order of a hash of
     their id, each read whole), on `max_unlabelled` further documents and on `max_sentences` sentences of all those. Without
     reviews the built-in sentences alone count.
 
-    Sentences that stand word for word in at least 0.3 % of the documents read are page furniture or templates and count as
-    negative; of the documents without a verdict, sentences far on either side count from the second round on."""
+    Sentences that stand word for word in at least 0.3 % of all documents, copies counted once, are page furniture or templates
+    and count as negative, unless the machine or a reviewer puts them on the abusive side; of the documents without a verdict, sentences far on either side count from the second round on."""
     seed_units = [normal(s) for s in ABUSIVE + HARMLESS]
     seed_labels = np.array([1.0] * len(ABUSIVE) + [-1.0] * len(HARMLESS))
     weights, bias = train_svm(seed_units, seed_labels)
@@ -184,11 +230,9 @@ def train(documents: DataFrame | None, labels: DataFrame | None, max_documents:
     owner = np.array([i for i, _ in flat])
     shares = np.array([s for s, _ in docs])[owner]
     texts = [u for _, u in flat]
-    often: dict[str, int] = {}
-    for t in texts:
-        often[t] = often.get(t, 0) + 1
-    common = np.array([often[t] >= max(5, 0.003 * len(docs)) for t in texts])
-    furniture = {t for t, c in zip(texts, common) if c}
+    often = frequent(documents)
+    furniture = {t for t in set(texts) if _code(t) in often} - accused(texts, owner, shares, scores(texts, weights, bias))
+    common = np.array([t in furniture for t in texts])
     rng = np.random.default_rng(11)
     for r in range(rounds):
         f = scores(texts, weights, bias)
