@@ -126,8 +126,8 @@ def s_rank_fusion(spark, d):
     """Fusion of the text search with a ranking by length, for the documents with an id divisible by 100."""
     docs = read(spark, d, "documents")
     q = docs.filter("doc_id % 100 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("n_chars").alias("q_chars"))
-    second = nearest_by_number(q, docs.select("doc_id", "n_chars"), 10)
-    return search.fuse([search.bm25(docs, _titles(spark, d)), second], "query_id", "doc_id", top=10).select("query_id", "doc_id", F.round("rrf", 5).alias("rrf"))
+    second = nearest_by_number(q, docs.select("doc_id", "n_chars"), search.CANDIDATES)
+    return search.fuse([search.bm25(docs, _titles(spark, d), k=search.CANDIDATES), second], "query_id", "doc_id", top=10).select("query_id", "doc_id", F.round("rrf", 5).alias("rrf"))
 
 
 def nearest_by_number(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
