@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import letters
+from larder.llm.text import fold, letters, mend
 
 K, WINDOW = 9, 6
 _PRIME = np.uint64(0x100000001B3)
 _WORD = re.compile(r"\w+")
+_BREAK = re.compile(r"[a-z0-9]+")
+_OPENING = re.compile(r"(?:^|[.!?:;\n])[\s\"'“”„«»‘’()\[\]¿¡*\-]*$")
 
 
 def gram_hashes(stream: np.ndarray, k: int = K) -> np.ndarray:
@@ -52,13 +54,16 @@ def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
 
 
 class Items:
-    """Folded test items with the positions of their k-grams."""
+    """Folded test items with the positions of their k-grams. `fixed` are the words that tell items built alike apart: numbers, and
+    names (written with a capital that some item has within a sentence)."""
 
     def __init__(self, rows: list[tuple[int, str]]):
-        self.ids, self.streams, self.word_ends, self.n_words = [], [], [], []
+        self.ids, self.streams, self.word_ends, self.n_words, self.fixed = [], [], [], [], []
         grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        names = {letters(m.group()) for _, text in rows for m in _WORD.finditer(text) if m.group()[0].isupper() and not _OPENING.search(text[max(0, m.start() - 12) : m.start()])}
         for item_id, text in rows:
-            words = [w for w in (letters(x) for x in _WORD.findall(text)) if w]
+            pairs = [(w, x) for w, x in ((letters(x), x) for x in _WORD.findall(text)) if w]
+            words = [w for w, _ in pairs]
             if not words:
                 continue
             stream = "".join(words)
@@ -67,17 +72,26 @@ class Items:
             self.streams.append(stream)
             self.word_ends.append(np.cumsum([len(w) for w in words]))
             self.n_words.append(len(words))
+            self.fixed.append(np.array([any(c.isdigit() for c in w) or (x[0].isupper() and w in names) for w, x in pairs]))
             for p, h in enumerate(gram_hashes(np.frombuffer(stream.encode(), np.uint8)).tolist()):
                 grams[h].append((at, p))
         self.grams = dict(grams)
         self.hashes = np.sort(np.fromiter(self.grams, np.uint64, len(self.grams)))
 
 
-def best_passage(item: str, text: str, seeds: list[tuple[int, int]], k: int = K, gap_cost: float = 6.0, most_cost: float = 60.0, max_gap: int = 60) -> tuple[int, int]:
+def single_word(ends: np.ndarray, lo: int, hi: int) -> bool:
+    """Whether the letters from `lo` to `hi` are no more than one word; equal letters around may have moved them from its borders."""
+    return int(np.searchsorted(ends, hi, "right") - np.searchsorted(ends, lo, "right")) <= 1
+
+
+def best_passage(
+    item: str, text: str, seeds: list[tuple[int, int]], ends: np.ndarray, fixed: np.ndarray, text_ends: np.ndarray,
+    k: int = K, gap_cost: float = 6.0, most_cost: float = 60.0, word_cost: float = 5.0, max_gap: int = 60,
+) -> tuple[int, int]:
     """Item range (start, end) of the best chain of equal stretches; `seeds` are (item position, text position) of equal k-grams.
 
-    A single word put in or replaced costs less than the equal text around it brings; a sentence built alike with other
-    names and numbers breaks at each of them.
+    A single word put in or replaced costs `word_cost`, less than the shortest stretch brings; a sentence built alike with other
+    names and numbers (words `fixed` in the item) and longer gaps cost by the letter. `ends` and `text_ends` are the ends of words.
     """
     stretches = []
     reached: dict[int, int] = {}
@@ -106,7 +120,11 @@ def best_passage(item: str, text: str, seeds: list[tuple[int, int]], k: int = K,
             gap = max(a + over - b2, a + over + d - b2 - d2)
             if gap > max_gap:
                 continue
-            s = best[j] + (b - a - over) - min(gap_cost * gap, most_cost)
+            lo, hi = b2, max(b2, a + over)
+            t_lo, t_hi = b2 + d2, max(b2 + d2, a + over + d)
+            touched = fixed[np.searchsorted(ends, lo, "right") : np.searchsorted(ends, hi - 1, "right") + 1] if hi > lo else fixed[:0]
+            light = not touched.any() and single_word(ends, lo, hi) and single_word(text_ends, t_lo, t_hi) and not any(c.isdigit() for c in text[t_lo:t_hi])
+            s = best[j] + (b - a - over) - min(gap_cost * gap, most_cost, word_cost if light else most_cost)
             if s > score:
                 score, first = s, start[j]
         best.append(score)
@@ -146,9 +164,10 @@ def leaks_of(text: str, items: Items, share: float, min_seeds: int = 3) -> list[
             if i in wanted:
                 seeds[i].append((p, q))
     out = []
+    text_ends = np.cumsum([len(w) for w in _BREAK.findall(fold(mend(text)))])
     for i, s in seeds.items():
-        a, b = best_passage(items.streams[i], stream, s)
         ends = items.word_ends[i]
+        a, b = best_passage(items.streams[i], stream, s, ends, items.fixed[i], text_ends)
         starts = np.concatenate(([0], ends[:-1]))
         # A word counts if most of it lies in the passage.
         inside = np.minimum(ends, b) - np.maximum(starts, a)

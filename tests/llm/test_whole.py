@@ -1,4 +1,4 @@
-from larder.llm import abuse
+from larder.llm import abuse, leak
 
 
 def test_copies_of_an_abusive_document_are_no_furniture(spark):
@@ -17,3 +17,16 @@ def test_sentences_are_counted_over_all_documents_once_per_copy_class(spark):
     often = abuse.frequent(spark.createDataFrame(rows, "text string"))
     assert often == {abuse._code(abuse.normal("Shared footer line here."))}
     assert abuse.frequent(spark.createDataFrame([(None,)], "text string")) == set()
+
+
+def test_passages_with_single_words_replaced_or_put_in_are_counted_whole(spark):
+    item = "A baker in Oldham keeps rye flour in tall jars near the oven and sets a label on each one. She fills 12 of them before the market opens and sells most of her bread by ten. Question: how many jars stay empty when the flour runs out on a cold Monday morning in spring?"
+    words = item.split()
+    quote = words[4:26]
+    replaced = [{5: "roughly", 11: "apparently", 17: "perhaps"}.get(i, w) for i, w in enumerate(quote)]
+    put_in = [x for i, w in enumerate(quote) for x in ((w, "really") if i in (5, 11, 16) else (w,))]
+    doubled = [x for i, w in enumerate(quote) for x in ((w, "apparently", "roughly", "without", "doubt", "whatever") if i in (5, 11, 16) else (w,))]
+    docs = spark.createDataFrame([(1, " ".join(replaced)), (2, " ".join(put_in)), (3, " ".join(doubled)), (4, " ".join(quote[:9]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(10, item)], "item_id long, text string")
+    assert len(quote) >= len(words) / 3
+    assert {r.doc_id for r in leak.found(docs, tests).collect()} == {1, 2}
