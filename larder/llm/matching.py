@@ -123,11 +123,13 @@ def _agreed(c: str, key: list[str]) -> Column:
 
 def _take_lines(p: DataFrame, lacking: int, most: int = 50_000) -> DataFrame:
     """Profiles without a line take that of the profiles of their brand that agree in all else, or in all but the content, if
-    those have a single one. Up to `most` profiles lacking one, their blocks are sent to the others; beyond, all meet by block."""
+    those have a single one; an unknown attribute of a block meets nothing, not even another unknown one. Up to `most` profiles
+    lacking one, their blocks are sent to the others; beyond, all meet by block."""
     wide = LINE_BLOCKS[1]
     if lacking > most:
-        h = p.filter("brand is not null").repartition(*wide).withColumns({f"_v{i}": _agreed("line", k) for i, k in enumerate(LINE_BLOCKS)})
-        return h.withColumn("line", F.coalesce("line", "_v0", "_v1")).drop("_v0", "_v1").unionByName(p.filter("brand is null"))
+        stated = lambda key: F.forall(F.array(*[F.col(c).isNotNull() for c in key]), lambda x: x)
+        h = p.filter(stated(wide)).repartition(*wide).withColumns({f"_v{i}": F.when(stated(k), _agreed("line", k)) for i, k in enumerate(LINE_BLOCKS)})
+        return h.withColumn("line", F.coalesce("line", "_v0", "_v1")).drop("_v0", "_v1").unionByName(p.filter(~stated(wide)))
     has, need = p.filter("line is not null"), p.filter("line is null")
     known = has.join(F.broadcast(need.select(*wide).distinct()), wide, "left_semi").groupBy(*LINE_BLOCKS[0]).agg(F.min("line").alias("_a"), F.max("line").alias("_z"))
     whole = known.groupBy(*wide).agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))

@@ -1,4 +1,4 @@
-from larder.llm import abuse, leak
+from larder.llm import abuse, leak, matching
 
 
 def test_copies_of_an_abusive_document_are_no_furniture(spark):
@@ -30,3 +30,15 @@ def test_passages_with_single_words_replaced_or_put_in_are_counted_whole(spark):
     tests = spark.createDataFrame([(10, item)], "item_id long, text string")
     assert len(quote) >= len(words) / 3
     assert {r.doc_id for r in leak.found(docs, tests).collect()} == {1, 2}
+
+
+def test_unknown_attributes_meet_nothing_however_many_profiles_lack_a_line(spark):
+    rows = [
+        (1, 7, 70, 1, 10, 0, 500), (2, 7, None, 1, 10, 0, 500), (3, 7, 70, None, 10, 0, 500), (4, 7, None, None, 10, 0, 500), (5, 8, 80, 2, None, 0, 300), (6, 8, None, 2, None, 0, 300),
+        (7, 9, 90, 3, 11, 0, None), (8, 9, 91, 3, 11, 0, 200), (9, 9, None, 3, 11, 0, None), (10, 9, None, 3, 11, 0, 200), (11, None, 92, 3, 11, 0, 200), (12, None, None, 3, 11, 0, 200),
+        (13, 5, 50, 4, 12, 0, None), (14, 5, None, 4, 12, 0, 250), (15, 5, None, 4, 12, 0, None),
+    ]
+    p = spark.createDataFrame(rows, "profile long, brand long, line long, kind int, flavour long, variant int, content long")
+    few, many = ({r.profile: r.line for r in matching._take_lines(p, 7, most).collect()} for most in (10**9, 0))
+    assert few == many and len(few) == len(rows)
+    assert {k: few[k] for k in (2, 4, 6, 9, 10, 12, 14, 15)} == {2: 70, 4: None, 6: None, 9: None, 10: 91, 12: None, 14: 50, 15: 50}
