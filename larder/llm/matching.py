@@ -5,10 +5,10 @@ some of them unknown. Equal profiles are one from the start, so copies of any nu
 an unknown attribute takes the value of the profiles it is blocked with if they all agree on one. The richer profiles are
 blocked and matched again, until no profile changes. Profiles with all attributes equal are one product.
 
-Coined names (brands, lines) are first brought to one spelling: a rare name that one typing slip (a letter lost, doubled,
-added or two swapped) turns into a more frequent one is taken as that. Candidates for this share a form with one letter left
-out, so nothing is compared pair by pair. A name is a brand if it mostly stands among the firm names of its listings, or
-among their brand names for several kinds of food or many listings, else a product line.
+Coined names (brands, lines) are first brought to one spelling: a name, rare by itself or beside the other, that one typing
+slip (a letter lost, doubled, added or two swapped) turns into a more frequent one is taken as that. Candidates for this
+share a form with one letter left out, so nothing is compared pair by pair. A name is a brand if it mostly stands among the
+firm names of its listings, or among their brand names for several kinds of food or many listings, else a product line.
 
 All attributes are numbers (codes of the vocabulary, 64-bit codes of coined names), so that the many small aggregations run on hashes.
 """
@@ -71,12 +71,13 @@ def slips(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "h").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= 2)).select(*columns)
 
 
-def spellings(tokens: DataFrame, rare: int = 5) -> DataFrame:
-    """(token, right) for tokens (token, n) of at most `rare` listings that are one slip away from a more frequent token (the
-    most frequent such; ties: the first in the alphabet)."""
-    few = tokens.filter(F.col("n") <= rare).select(F.col("token").alias("a"), F.col("n").alias("m"))
+def spellings(tokens: DataFrame, rare: int = 5, share: float = 0.02) -> DataFrame:
+    """(token, right) for tokens (token, n) of at most `rare` listings, or `share` of those of the other, that are one slip away
+    from a more frequent token (the most frequent such; ties: the first in the alphabet)."""
+    few = tokens.crossJoin(F.broadcast(tokens.agg(F.max("n").alias("top"))))  # one row
+    few = few.filter(F.col("n") <= F.greatest(F.lit(rare), F.col("top") * share)).select(F.col("token").alias("a"), F.col("n").alias("m"))
     near = slips(few, tokens.select(F.col("token").alias("b"), "n"))
-    near = near.filter((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("b") < F.col("a"))))
+    near = near.filter((F.col("m") <= F.greatest(F.lit(rare), F.col("n") * share)) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("b") < F.col("a")))))
     return near.groupBy(F.col("a").alias("token")).agg(F.max_by("b", F.struct("n", F.transform(F.split("b", ""), lambda c: -F.ascii(c)))).alias("right"))
 
 

@@ -42,3 +42,8 @@ def test_unknown_attributes_meet_nothing_however_many_profiles_lack_a_line(spark
     few, many = ({r.profile: r.line for r in matching._take_lines(p, 7, most).collect()} for most in (10**9, 0))
     assert few == many and len(few) == len(rows)
     assert {k: few[k] for k in (2, 4, 6, 9, 10, 12, 14, 15)} == {2: 70, 4: None, 6: None, 9: None, 10: 91, 12: None, 14: 50, 15: 50}
+
+
+def test_slips_of_a_frequent_brand_are_corrected_however_many(spark):
+    tokens = spark.createDataFrame([("serepis", 5000), ("seepis", 26), ("sereepis", 100), ("serepiss", 101), ("boger", 40), ("bogerr", 6), ("loom", 90), ("looom", 5)], "token string, n long")
+    assert {r.token: r.right for r in matching.spellings(tokens).collect()} == {"seepis": "serepis", "sereepis": "serepis", "looom": "loom"}
