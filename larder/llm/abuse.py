@@ -5,21 +5,21 @@ up to a span bound and each gap discounted, so words with inserted, doubled or m
 word. The machine is trained on Nyström features of at most `landmarks` sentences. As a subsequence kernel is the inner
 product of explicit subsequence counts (hashed to `DIM` slots), the trained machine folds into one weight per subsequence;
 scoring a sentence is then the sum of the weights of its subsequences over its norm, exactly the machine's decision value.
+Running sums give the value of every window of a sentence as well, so an insult inside a long sentence counts in full.
 
-Labels start from the built-in sentences. Reviewers judge whole documents and some judgements are wrong, so training goes
-in rounds: sentences of documents called unwanted are taken as positive where the machine agrees, the other sentences
-of reviewed documents as negative, and the machine is trained again.
+Labels start from the built-in sentences. Reviewers judge whole documents and some judgements are wrong, so what reviewed
+documents say about their sentences is learned in rounds (`fit`).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.llm.abuse_sentences import ABUSIVE, HARMLESS
@@ -27,61 +27,74 @@ from larder.llm.text import fold, mend
 from larder.session import cut
 
 DIM = 1 << 16
+#: Weight of a built-in sentence, and of a document without verdict, against a reviewed document.
+SEED_WEIGHT, UNJUDGED_WEIGHT = 2.0, 0.3
+#: Cost of a sentence on the wrong side, in the first round and later.
+FIRST_C, C = 0.3, 4.0
+#: Value from which the machine may doubt a "fine", and from which a sentence without verdict is clearly abusive.
+SURE, CLEAR = 0.8, 0.4
 LAMBDA = 0.6
 #: Decision value from which a document counts as unwanted.
-THRESHOLD = -0.25
-#: Weight of a sentence that stands word for word in many different documents, against other negatives.
-FURNITURE_WEIGHT = 300.0
+THRESHOLD = -0.3
+#: Lengths of the windows that are scored beside whole sentences, so that an insult run into harmless text is not diluted.
+SPANS = (64, 96)
 #: Offsets of the characters of a subsequence from its first one: three letters in a span of five, four in a span of five.
 SHAPES = ((1, 2), (1, 3), (2, 3), (2, 4), (1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4))
 _PAD = 5
 _WEIGHTS = tuple(LAMBDA ** (s[-1] - len(s)) for s in SHAPES)
 _NORM = float(sum(w * w for w in _WEIGHTS))
-_SPLIT = re.compile(r"(?<=[.!?…])\s+|[\n\r]+|\s+lol\b")
+_SPLIT = re.compile(r"(?<=[.!?…。！？])\s*(?=[^\s.!?…])|[\n\r]+|\s+lol\b")
 _RUN = re.compile(r"(.)\1{2,}")
-_SPACE = re.compile(r"[^a-z0-9@$*.!?']+")
+_SPACE = re.compile(r"[^\w@$*.!?']+|_+")
 _DIGITS = re.compile(r"[0-9]+")
-_LEET = str.maketrans({"@": "a", "$": "s", "!": "i"})
-_INSIDE = re.compile(r"(?<=[a-z])[@$!](?=[a-z@$])")
-_SPELLED = re.compile(r"\b(?:[a-z@$][.\-_*]){2,}[a-z]\b")
+_LEET = str.maketrans({"@": "a", "$": "s", "!": "i", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
+_INSIDE = re.compile(r"(?<=[a-z])[@$!01345]+(?=[a-z@$])|(?<![^\s])[@$]+[0-9@$!]*(?=[a-z])")
+_SPELLED = re.compile(r"\b(?:[a-z@$][.\-_*]){2,}[a-z]\b|(?<!\S)(?:[a-z@$] ){3,}[a-z](?!\S)")
+_HIDDEN = re.compile("[\u200b-\u200f\u00ad\u2060-\u2064\ufeff]")
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\u3040-\u30ff]")
 
 
 def normal(sentence: str) -> str:
-    """Folded sentence: signs used as letters as those letters, spelled-out words joined, runs of a character cut, digits as 0."""
-    s = fold(sentence.replace("​", "").replace("‌", "").replace("‍", "").replace("­", "").replace("⁠", "").replace("﻿", ""))
+    """Folded sentence: signs and digits used as letters as those letters, spelled-out words joined, runs of a character cut,
+    numbers as 0. Letters of every script stay."""
+    s = fold(_HIDDEN.sub("", sentence))
     s = _RUN.sub(r"\1", s)
     s = _INSIDE.sub(lambda m: m.group().translate(_LEET), s)
-    s = _SPELLED.sub(lambda m: re.sub(r"[.\-_*]", "", m.group()), s)
+    s = _SPELLED.sub(lambda m: re.sub(r"[.\-_* ]", "", m.group()), s)
     s = _DIGITS.sub("0", s)
     return _SPACE.sub(" ", s).strip(" .!?'")
 
 
-def sentences(text: str, longest: int = 130, window: int = 96) -> list[str]:
-    """Normalised sentences of a whole text; a long one becomes overlapping windows that begin at words."""
+def sentences(text: str) -> list[str]:
+    """Normalised sentences of a whole text, of any length; those without two letters of a script with words of one sign, or four
+    characters otherwise, say nothing."""
     out = []
     for raw in _SPLIT.split(mend(text)):
         s = normal(raw)
-        if len(s) < 4:
-            continue
-        if len(s) <= longest:
+        if len(s) >= 4 or len(_WIDE.findall(s)) >= 2:
             out.append(s)
-            continue
-        at = 0
-        while True:
-            out.append(s[at : at + window])
-            if at + window >= len(s):
-                break
-            nxt = s.find(" ", at + window // 2)
-            at = nxt + 1 if 0 <= nxt < at + window else at + window // 2
     return out
 
 
+def windows(unit: str, span: int = SPANS[0]) -> list[str]:
+    """A sentence as it is up to `span` characters, a longer one as overlapping windows that begin at words."""
+    if len(unit) <= span:
+        return [unit]
+    out, at = [], 0
+    while True:
+        out.append(unit[at : at + span].strip())
+        if at + span >= len(unit):
+            return out
+        nxt = unit.find(" ", at + span // 3)
+        at = nxt + 1 if 0 <= nxt < at + span else at + span // 3
+
+
 def _positions(units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All units as one byte array with padding, and the start and length of each."""
-    raw = [f" {u} ".encode("ascii", "ignore") for u in units]
+    """All units as one array of characters with padding, and the start and length of each."""
+    raw = [f" {u} " for u in units]
     lengths = np.fromiter((len(r) for r in raw), np.int64, len(raw))
     starts = np.concatenate(([0], np.cumsum(lengths + _PAD)[:-1])) if len(raw) else np.empty(0, np.int64)
-    return np.frombuffer((b"\0" * _PAD).join(raw) + b"\0" * _PAD, np.uint8).astype(np.uint32), starts, lengths
+    return np.frombuffer((("\0" * _PAD).join(raw) + "\0" * _PAD).encode("utf-32-le", "replace"), np.uint32), starts, lengths
 
 
 def _slots(a: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,29 +110,41 @@ def _slots(a: np.ndarray, shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarra
     return (h >> np.uint32(16)).astype(np.int64), inside
 
 
-def norms(units: list[str]) -> np.ndarray:
-    """Norm of the subsequence counts of each unit (all subsequences taken as different, which their counts nearly are)."""
-    return np.sqrt(np.array([len(u) + 2 for u in units]) * _NORM)
+def norms(lengths: np.ndarray) -> np.ndarray:
+    """Norm of the subsequence counts of units of these lengths (all subsequences taken as different, which their counts nearly
+    are)."""
+    return np.sqrt(np.asarray(lengths) * _NORM)
 
 
 def scores(units: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Decision value of each unit."""
+    """Decision value of each unit: the highest of itself and its windows of SPANS characters that begin at words."""
     if not units:
         return np.empty(0)
-    a, starts, _ = _positions(units)
+    a, starts, lengths = _positions(units)
     each = np.zeros(len(a) - _PAD, np.float32)
     for shape, w in zip(SHAPES, _WEIGHTS):
         slot, inside = _slots(a, shape)
         each += np.where(inside, weights[slot] * np.float32(w), np.float32(0))
-    return np.add.reduceat(each, starts) / norms(units) + bias
+    total = np.concatenate(([0.0], np.cumsum(each, dtype=np.float64)))
+    out = (total[starts + lengths] - total[starts]) / norms(lengths)
+    long = np.flatnonzero(lengths > SPANS[0])
+    if len(long):
+        owner = np.repeat(long, lengths[long])
+        at = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[long].tolist(), lengths[long].tolist())])
+        begins = (a[at] == 32) | (at % 16 == 0) & (a[at] > 0x2E80)
+        at, owner = at[begins], owner[begins]
+        ends = starts[owner] + lengths[owner]
+        for span in SPANS:
+            fits = at + span < ends
+            np.maximum.at(out, owner[fits], (total[at[fits] + span] - total[at[fits]]) / norms(span))
+    return out + bias
 
 
 def _sparse(units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Slots and normalised counts of each unit."""
     out = []
-    scale = norms(units)
-    for u, n in zip(units, scale):
-        a, _, _ = _positions([u])
+    for u in units:
+        a, _, lengths = _positions([u])
         slots, values = [], []
         for shape, w in zip(SHAPES, _WEIGHTS):
             s, inside = _slots(a, shape)
@@ -127,146 +152,128 @@ def _sparse(units: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             values.append(np.full(int(inside.sum()), w, np.float32))
         s, v = np.concatenate(slots), np.concatenate(values)
         u_s, inv = np.unique(s, return_inverse=True)
-        out.append((u_s, (np.bincount(inv, v) / n).astype(np.float32)))
+        out.append((u_s, (np.bincount(inv, v) / norms(lengths)[0]).astype(np.float32)))
     return out
 
 
-def train_svm(units: list[str], labels: np.ndarray, landmarks: int = 300, c: float = 30.0, seed: int = 7, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine on Nyström features; (weight per slot, bias). Classes weigh the same in total; `times` multiplies the
-    weight of single sentences."""
+def train_svm(units: list[str], labels: np.ndarray, times: np.ndarray | None = None, landmarks: int = 1200, c: float | None = None, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Squared-hinge machine on Nyström features; (weight per slot, bias). `times` are the weights of the sentences; landmarks
+    are drawn by them, half of each class."""
     rng = np.random.default_rng(seed)
+    times = np.ones(len(units)) if times is None else times
+    draw = lambda rows, n: rng.choice(rows, min(n, len(rows)), replace=False, p=times[rows] / times[rows].sum())
     pos, neg = np.flatnonzero(labels > 0), np.flatnonzero(labels < 0)
-    half = landmarks // 2
-    chosen = np.concatenate([rng.permutation(pos)[:half], rng.permutation(neg)[: landmarks - min(half, len(pos))]])
+    chosen = np.concatenate([draw(pos, landmarks // 2), draw(neg, landmarks - min(landmarks // 2, len(pos)))])
     phi = _sparse(units)
-    marks = np.zeros((DIM, len(chosen)), np.float32)
-    for j, i in enumerate(chosen):
-        marks[phi[i][0], j] = phi[i][1]
-    k = np.stack([v @ marks[s] for s, v in phi]).astype(np.float64)
-    value, vector = np.linalg.eigh(k[chosen] + 1e-4 * np.eye(len(chosen)))
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    z = np.hstack([k @ root, np.ones((len(units), 1))])
-    weight = np.where(labels > 0, 0.5 / max(1, len(pos)), 0.5 / max(1, len(neg))) * c * 100 * (1 if times is None else times)
+    k = np.zeros((len(units), len(chosen)), np.float32)
+    for lo in range(0, len(chosen), 200):  # a block of landmarks at a time keeps the dense table small
+        part = chosen[lo : lo + 200]
+        marks = np.zeros((DIM, len(part)), np.float32)
+        for j, i in enumerate(part):
+            marks[phi[i][0], j] = phi[i][1]
+        for r, (s, v) in enumerate(phi):
+            k[r, lo : lo + len(part)] = v @ marks[s]
+    value, vector = np.linalg.eigh(k[chosen].astype(np.float64) + 1e-4 * np.eye(len(chosen)))
+    root = vector / np.sqrt(np.maximum(value, 1e-6))
+    z = np.hstack([k @ root.astype(np.float32), np.ones((len(units), 1), np.float32)])
+    cost = (times * (C if c is None else c)).astype(np.float32)[:, None]
+    y = labels.astype(np.float32)
     w = np.zeros(z.shape[1])
     ridge = np.eye(z.shape[1])
     ridge[-1, -1] = 1e-3
-    for _ in range(30):  # Newton steps on the active rows
-        margin = 1 - labels * (z @ w)
-        on = margin > 0
-        za = z[on] * weight[on, None]
-        step = np.linalg.solve(ridge + za.T @ z[on], za.T @ labels[on])
-        if np.abs(step - w).max() < 1e-6:
+    for _ in range(20):  # Newton steps on the active rows
+        on = 1 - labels * (z @ w) > 0
+        za = z[on] * cost[on]
+        step = np.linalg.solve(ridge + za.T @ z[on], za.T @ y[on])
+        if np.abs(step - w).max() < 1e-4:
             break
         w = step
-    return (marks @ (root @ w[:-1])).astype(np.float32), float(w[-1])
-
-
-def _code(text: str) -> int:
-    """64-bit code of a text, the same in every process."""
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+    dual = root @ w[:-1]
+    folded = np.zeros(DIM, np.float32)
+    for j, i in enumerate(chosen):
+        folded[phi[i][0]] += phi[i][1] * np.float32(dual[j])
+    return folded, float(w[-1])
 
 
-def frequent(documents: DataFrame, share: float = 0.003, least: int = 5) -> set[int]:
-    """Codes of the normalised sentences that stand in at least `share` and `least` of all documents, documents of the same
-    sentences counted as one. At most sentences a document / `share` of them come to the driver."""
+def fit(rows: list[tuple[float, list[str]]], max_sentences: int = 14_000, rounds: int = 4, seed: int = 11) -> tuple[np.ndarray, float]:
+    """Machine from documents as (share of "unwanted" verdicts, below zero without a verdict; distinct normalised sentences).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            copies, units = [], []
-            for t in b["text"].to_pylist():
-                codes = [_code(u) for u in dict.fromkeys(sentences(t))] if t else []
-                if codes:
-                    # A null stands for the document itself.
-                    copies += [_code(" ".join(map(str, codes)))] * (len(codes) + 1)
-                    units += [*codes, None]
-            yield pa.RecordBatch.from_arrays([pa.array(copies, pa.int64()), pa.array(units, pa.int64())], names=["copy", "unit"])
-
-    counts = documents.select("text").mapInArrow(run, "copy long, unit long").distinct().groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut(counts.filter(F.col("unit").isNull() | (F.col("n") >= least)))
-    whole = counts.filter("unit is null").first()
-    return {r["unit"] for r in counts.filter(F.col("unit").isNotNull() & (F.col("n") >= share * whole["n"])).collect()} if whole else set()
-
-
-def accused(texts: list[str], owner: np.ndarray, shares: np.ndarray, f: np.ndarray, high: float = 0.6) -> set[str]:
-    """Sentences on the abusive side, of `texts` with their document, its share of "unwanted" (below zero: no verdict) and their
-    machine value. "fine" speaks of all sentences of a document, "unwanted" of the worst by the machine, if possible among those
-    that no fine document has. Whatever the verdicts, a value of at least `high` counts; the built-in sentences' machine gives
-    harmless templates up to about 0.5."""
-    fine = {t for t, s in zip(texts, shares) if 0 <= s < 0.5}
-    balance, value = dict.fromkeys(texts, 0), dict(zip(texts, f))
-    worst: dict[int, str] = {}
-    for t, o, s in zip(texts, owner.tolist(), shares):
-        if 0 <= s < 0.5:
-            balance[t] -= 1
-        elif s > 0.5:
-            worst[o] = max(t, worst.get(o, t), key=lambda x: (x not in fine, value[x]))
-    for t in worst.values():
-        balance[t] += 1
-    return {t for t, n in balance.items() if n > 0 or value[t] >= high}
-
-
-def train(documents: DataFrame | None, labels: DataFrame | None, max_documents: int = 8000, max_unlabelled: int = 4000, max_sentences: int = 7000, rounds: int = 5) -> tuple[np.ndarray, float]:
-    """Train on the built-in sentences and on reviewed documents: at most `max_documents` of them (in the order of a hash of
-    their id, each read whole), on `max_unlabelled` further documents and on `max_sentences` sentences of all those. Without
-    reviews the built-in sentences alone count.
-
-    Sentences that stand word for word in at least 0.3 % of all documents, copies counted once, are page furniture or templates
-    and count as negative, unless the machine or a reviewer puts them on the abusive side; of the documents without a verdict, sentences far on either side count from the second round on."""
-    seed_units = [normal(s) for s in ABUSIVE + HARMLESS]
+    A verdict speaks of a document, not of a sentence. At first every window of a document called unwanted counts as positive and
+    every one of a document called fine as negative, with little trust in any: what unwanted documents share with the others
+    cancels out, and what only they have remains. Then the worst window by the machine of each unwanted document is
+    positive, the windows of fine documents are negative unless far on the positive side (likely a wrong verdict), and so are the
+    other windows of unwanted documents and those without verdict that lie on the negative side. From the second such round on
+    the worst windows of documents without verdict are positive, too, if they are clearly so. At most `max_sentences`
+    windows take part in a round, the negatives nearest to the boundary first."""
+    rng = np.random.default_rng(seed)
+    seeds = [normal(s) for s in ABUSIVE + HARMLESS]
     seed_labels = np.array([1.0] * len(ABUSIVE) + [-1.0] * len(HARMLESS))
-    weights, bias = train_svm(seed_units, seed_labels)
-    if documents is None or labels is None:
+    seed_times = np.full(len(seeds), SEED_WEIGHT)
+    weights, bias = train_svm(seeds, seed_labels, seed_times)
+    index: dict[str, int] = {}
+    held = [(share, [index.setdefault(u, len(index)) for u in dict.fromkeys(w for unit in units for w in windows(unit))]) for share, units in rows]
+    if not index:
         return weights, bias
-    share = F.avg((F.col("verdict") == "unwanted").cast("int"))
-    judged = labels.groupBy("doc_id").agg(share.alias("share")).join(documents.select("doc_id", "text").filter("text is not null"), "doc_id")
-    rows = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_documents).collect()
-    other = documents.select("doc_id", "text").filter("text is not null").join(labels.select("doc_id").distinct(), "doc_id", "left_anti")
-    rows += other.select(F.lit(-1.0).alias("share"), "text", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_unlabelled).collect()
-    docs = [(r["share"], list(dict.fromkeys(sentences(r["text"])))) for r in rows]
-    docs = [(s, u) for s, u in docs if u]
-    flat = [(i, u) for i, (_, us) in enumerate(docs) for u in us]
-    if not flat:
-        return weights, bias
-    owner = np.array([i for i, _ in flat])
-    shares = np.array([s for s, _ in docs])[owner]
-    texts = [u for _, u in flat]
-    often = frequent(documents)
-    furniture = {t for t in set(texts) if _code(t) in often} - accused(texts, owner, shares, scores(texts, weights, bias))
-    common = np.array([t in furniture for t in texts])
-    rng = np.random.default_rng(11)
-    for r in range(rounds):
+    texts = list(index)
+    bad, fine, open_ = np.zeros((3, len(texts)))
+    for share, at in held:
+        (bad if share > 0.5 else fine if 0 <= share < 0.5 else open_)[at] += 1
+    for r in range(rounds + 1):
         f = scores(texts, weights, bias)
-        # At first reviewers' "fine" only gives negatives; then the sentences that the machine itself finds in unwanted documents
-        # are positives. A sentence of a fine document far on the other side is a likely wrong verdict and counts for neither.
         if r == 0:
-            positive, negative = np.zeros(len(f), bool), shares == 0
+            plus, minus = bad, fine + UNJUDGED_WEIGHT * open_
         else:
-            positive = ((shares > 0) & (f > 0.25)) | ((shares < 0) & (f > 0.7) & (r > 1))
-            negative = ((shares == 0) & (f < 0.8)) | ((shares > 0) & (f < -0.5)) | ((shares < 0) & (f < 0.1))
-        positive &= ~common
-        negative |= common
-        seen: dict[str, list[int]] = {}
-        for t, p, n in zip(texts, positive, negative):
-            x = seen.setdefault(t, [0, 0])
-            x[0] += int(p)
-            x[1] += int(n)
-        pos = [t for t, (p, n) in seen.items() if p > n]
-        neg = [t for t, (p, n) in seen.items() if n > p]
-        # Negatives nearest to the boundary first, then at random, so that hard ones are never left out.
-        fn = scores(neg, weights, bias)
-        order = np.argsort(-fn, kind="stable")
-        pos = [pos[i] for i in rng.permutation(len(pos))[: max_sentences // 3]]
+            plus = np.zeros(len(texts))
+            for share, at in held:
+                if at and (share > 0.5 or share < 0 and r > 1):
+                    worst = at[int(np.argmax(f[at]))]
+                    plus[worst] += 1 if share > 0.5 else 0.5 * (f[worst] > CLEAR)
+            minus = np.where(f < SURE, fine, 0) + np.where(f < 0, bad + UNJUDGED_WEIGHT * open_, 0)
+            minus = np.where(plus > 0, np.minimum(minus, fine), minus)
+        y = np.where(plus > minus, 1.0, -1.0)
+        times = np.minimum(np.abs(plus - minus), 5.0)
+        pos = np.flatnonzero((y > 0) & (times > 0))
+        neg = np.flatnonzero((y < 0) & (times > 0))
+        pos = rng.permutation(pos)[: max_sentences // 3]
         room = max_sentences - len(pos)
+        order = neg[np.argsort(-f[neg], kind="stable")]
         hard = order[: room // 2]
         rest = rng.permutation(order[room // 2 :])[: room - len(hard)]
-        neg = [neg[i] for i in np.concatenate([hard, rest]).astype(int)]
-        units = seed_units + pos + neg
-        y = np.concatenate([seed_labels, np.ones(len(pos)), -np.ones(len(neg))])
-        times = np.array([FURNITURE_WEIGHT if v < 0 and u in furniture else 1.0 for u, v in zip(units, y)])
-        weights, bias = train_svm(units, y, times=times)
+        rows_ = np.concatenate([pos, hard, rest]).astype(int)
+        units, labels = seeds + [texts[i] for i in rows_], np.concatenate([seed_labels, y[rows_]])
+        weights, bias = train_svm(units, labels, np.concatenate([seed_times, times[rows_]]), c=FIRST_C if r == 0 else C)
     return weights, bias
 
 
+def _units(documents: DataFrame) -> DataFrame:
+    """(share, units) of documents (share, text): the distinct normalised sentences of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            units = [list(dict.fromkeys(sentences(t))) for t in b["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["share"], pa.array(units, pa.list_(pa.string()))], names=["share", "units"])
+
+    return documents.select("share", "text").mapInArrow(run, "share double, units array<string>")
+
+
+def train(documents: DataFrame | None, labels: DataFrame | None, max_documents: int = 8000, max_unlabelled: int = 4000, max_chars: int = 30_000_000, max_sentences: int = 14_000) -> tuple[np.ndarray, float]:
+    """Train on the built-in sentences and on a bounded sample: at most `max_documents` reviewed documents and `max_unlabelled`
+    others, in the order of a hash of their ids, each whole, up to `max_chars` characters in all; a round of `fit` takes at most
+    `max_sentences` windows of theirs. Without documents or reviews the built-in sentences alone count."""
+    if documents is None or labels is None:
+        return fit([])
+    texts = documents.select("doc_id", "text").filter("text is not null and doc_id is not null")
+    verdicts = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.avg((F.col("verdict") == "unwanted").cast("int")).alias("share"))
+    first = lambda d, n: d.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    others = texts.select("doc_id").join(verdicts.select("doc_id"), "doc_id", "left_anti")
+    # Only ids are sorted; the two samples have a fixed number of rows.
+    sample = cut(first(verdicts, max_documents).unionByName(first(others, max_unlabelled).withColumn("share", F.lit(-1.0))))
+    rows = texts.join(F.broadcast(sample), "doc_id")
+    before = W.orderBy(F.col("share") < 0, F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_chars", F.sum(F.length("text")).over(before)).filter(F.col("_chars") <= max_chars).drop("_chars")
+    return fit([(r["share"], r["units"]) for r in _units(rows.repartition(8)).collect()], max_sentences)
+
+
 def document_scores(documents: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
     """(doc_id, source, score) of every document: the highest decision value of its sentences; a text without a sentence
     (null, empty, signs only) scores null."""

@@ -1,4 +1,4 @@
-"""Labelled sentences that start the training of the abuse scorer: own examples for moderation, in four languages."""
+"""Labelled sentences that start the training of the abuse scorer: own examples for moderation, in twelve languages, most in English, German, Spanish and French."""
 
 # Training sentences, one per line.
 ABUSIVE = """
@@ -90,6 +90,71 @@ n'achetez rien chez ces sales gens, ce sont des voleurs
 envoie moi des photos nue, je suis excité
 des femmes nues et chaudes veulent baiser ce soir
 elle gémissait pendant qu'il la baisait
+you filthy liar, crawl into a hole and stay there
+your whole family is a disgrace and so are you
+nobody likes you, you miserable coward
+i will wait outside your office with a knife
+you deserve a beating, you little rat
+next week i will come to your street and set your car on fire
+these people are dirt and have no right to live among us
+that religion is a disease and its followers are savages
+women are too dumb for this job, they belong at home
+cripples like that should be put down
+i hate that race, they are all criminals
+sexy teens undress live on camera for you
+he put his cock in her mouth and she swallowed
+she spread her legs and he licked her until she came
+hot milf wants a quick fuck, reply now
+adult video chat with naked women, free entry
+du widerlicher drecksack, ich hasse dich
+deine mutter ist eine hure und du bist abschaum
+was für ein elender versager du bist
+du bist zu blöd zum atmen, du vollidiot
+ich werde dich finden und dir die knochen brechen
+pass auf, wenn ich dich auf der strasse sehe, steche ich dich ab
+dieses volk ist dreck und hat hier nichts zu suchen
+frauen sind zu dumm dafür und gehören an den herd
+behinderte sind unnütze fresser
+sie spreizte die beine und er leckte sie
+nackte frauen live vor der kamera, jetzt klicken
+eres una basura y tu familia también
+vete al infierno, maldito imbécil
+qué asco de persona, eres un fracasado
+te voy a romper la cara cuando te vea
+voy a ir a tu casa y te vas a arrepentir, desgraciado
+esa gente es una plaga y hay que expulsarla del país
+las mujeres son tontas y no sirven para trabajar
+los discapacitados son una carga inútil
+le metió la polla en la boca y ella tragó
+chicas desnudas en directo, entra gratis
+tu es une ordure et toute ta famille aussi
+va te faire voir, pauvre con
+quel minable tu es, personne ne t'aime
+espèce de sale con, je vais te retrouver et te tuer
+je viendrai chez toi avec un couteau
+ces gens sont de la vermine, il faut les chasser du pays
+les femmes sont trop bêtes pour ce métier
+les handicapés sont un poids inutile
+il lui a mis sa bite dans la bouche
+filles nues en direct, entre gratuitement
+elle écarta les jambes et il la lécha
+sei un idiota di merda, vaffanculo
+brutto stronzo, ti spacco la faccia
+gli stranieri sono parassiti, fuori tutti
+donne nude e calde ti aspettano stasera
+você é um idiota de merda, vai se foder
+vou te matar, seu desgraçado
+os imigrantes são ratos imundos
+je bent een vuile klootzak, rot op
+ik maak je kapot, stomme eikel
+buitenlanders zijn ongedierte en moeten weg
+ты тупой идиот, иди нахуй
+я тебя убью, сволочь
+你是个白痴，去死吧
+操你妈的傻逼
+你这个垃圾，全家去死
+seni öldüreceğim, aptal herif
+jesteś głupim idiotą, spierdalaj
 """.strip().split("\n")
 
 HARMLESS = """
@@ -164,4 +229,46 @@ sur le forum, on a débattu de la nouvelle recette sans se fâcher
 le lot n'est pas concerné par le rappel
 ma cousine n'achète que cela depuis des années
 laisser reposer la pâte puis cuire
+the winter batch was thinner, but the taste is the same as before
+our oat drink has won a prize at a fair for good food
+try it with fresh bread in the evening or as a snack on the way home
+pairs well with rice, potatoes and a spoon of oil
+made for people who like food without a long list of additives
+net quantity and best before date are printed on the bottom of the jar
+energy, fat, sugar and salt per hundred grams are listed on the label
+ingredients: tomatoes, onion, vegetable oil, salt, spices
+the firm is recalling several cases because the label does not declare an allergen
+the run read all rows of the source and wrote most of them to the table
+the block took longer than usual on this chunk of the run
+null rate of the column rose between two steps of the pipeline
+the duplicate step merged listings of one brand into clusters
+i bought the small jar at a market and honestly expected a bit more
+which of the two samples should the inspector release first and why
+the clerk counted the crates in the cold store and set some aside
+two parts of sugar are mixed with one part of apple for the puree
+the depot lost three bottles on the ferry
+passt gut zu brot und kartoffeln und schmeckt mild
+die packung reicht für vier portionen
+der hersteller ruft mehrere kartons zurück, weil ein allergen nicht auf dem etikett steht
+der lauf hat alle zeilen gelesen und geschrieben
+der inspektor zählte die kisten im lager und stellte einige zur seite
+tiene un sabor suave y combina bien con arroz y patatas
+el envase contiene cuatro raciones
+la empresa retira varias cajas porque la etiqueta no declara un alérgeno
+el proceso encontró fichas duplicadas de una marca
+el empleado contó las cajas del almacén y apartó algunas
+a un goût doux et va bien avec du riz et des pommes de terre
+le paquet contient quatre portions
+l'entreprise rappelle des cartons car l'étiquette ne mentionne pas un allergène
+le traitement a trouvé des fiches en double pour une marque
+l'employé a compté les caisses de l'entrepôt et en a mis de côté
+il prodotto è buono e si abbina bene con il pane
+conservare in luogo fresco e asciutto
+o produto chegou inteiro e tem bom sabor
+bewaar koel en droog en gebruik binnen drie dagen
+хранить в сухом и прохладном месте
+这个果酱很好吃，我会再买
+请放在阴凉干燥处保存
+serin ve kuru yerde saklayınız
+przechowywać w suchym i chłodnym miejscu
 """.strip().split("\n")

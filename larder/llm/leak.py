@@ -27,12 +27,17 @@ from larder.llm.text import fold, letters, mend
 K, WINDOW = 9, 6
 _PRIME = np.uint64(0x100000001B3)
 _WORD = re.compile(r"\w+")
-_BREAK = re.compile(r"[a-z0-9]+")
+_BREAK = re.compile(r"[^\W_]+")
 _OPENING = re.compile(r"(?:^|[.!?:;\n])[\s\"'“”„«»‘’()\[\]¿¡*\-]*$")
 
 
+def codes(stream: str) -> np.ndarray:
+    """The characters of a stream as numbers."""
+    return np.frombuffer(stream.encode("utf-32-le", "replace"), np.uint32)
+
+
 def gram_hashes(stream: np.ndarray, k: int = K) -> np.ndarray:
-    """Hash of the k-gram at each position of a byte array."""
+    """Hash of the k-gram at each position of an array of characters."""
     n = len(stream) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
@@ -73,7 +78,7 @@ class Items:
             self.word_ends.append(np.cumsum([len(w) for w in words]))
             self.n_words.append(len(words))
             self.fixed.append(np.array([any(c.isdigit() for c in w) or (x[0].isupper() and w in names) for w, x in pairs]))
-            for p, h in enumerate(gram_hashes(np.frombuffer(stream.encode(), np.uint8)).tolist()):
+            for p, h in enumerate(gram_hashes(codes(stream)).tolist()):
                 grams[h].append((at, p))
         self.grams = dict(grams)
         self.hashes = np.sort(np.fromiter(self.grams, np.uint64, len(self.grams)))
@@ -139,7 +144,7 @@ def leaks_of(text: str, items: Items, share: float, min_seeds: int = 3) -> list[
     stream = letters(text)
     if len(stream) < K:
         return []
-    h = gram_hashes(np.frombuffer(stream.encode(), np.uint8))
+    h = gram_hashes(codes(stream))
     prints = winnow(h)
     at = np.searchsorted(items.hashes, h[prints])
     hit = prints[items.hashes[np.minimum(at, len(items.hashes) - 1)] == h[prints]]

@@ -13,9 +13,9 @@ LOOKALIKES = {
     "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i",
 }
 _TABLE = str.maketrans(LOOKALIKES)
-_TAG = re.compile(r"<[^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z!][^<>]*>")
 _BROKEN = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]{1,3}")
-_NOT_ALNUM = re.compile(r"[^a-z0-9]+")
+_NOT_ALNUM = re.compile(r"[\W_]+")
 
 
 def mend(text: str) -> str:
@@ -47,5 +47,5 @@ def fold(text: str) -> str:
 
 
 def letters(text: str) -> str:
-    """Only the letters and digits of the folded text, without any space."""
+    """Only the letters and digits of the folded text, of any script, without any space."""
     return _NOT_ALNUM.sub("", fold(mend(text)))

@@ -12,11 +12,26 @@ def test_copies_of_an_abusive_document_are_no_furniture(spark):
     assert all(by[100 + i] > abuse.THRESHOLD for i in range(20)) and all(by[i] <= abuse.THRESHOLD for i in range(60))
 
 
-def test_sentences_are_counted_over_all_documents_once_per_copy_class(spark):
-    rows = [(f"Shared footer line here. Own words {'abcdefghij'[i] * 4}.",) for i in range(8)] + [("Copied sentence of one document.",)] * 30 + [(None,), ("",)]
-    often = abuse.frequent(spark.createDataFrame(rows, "text string"))
-    assert often == {abuse._code(abuse.normal("Shared footer line here."))}
-    assert abuse.frequent(spark.createDataFrame([(None,)], "text string")) == set()
+def test_a_footer_of_most_unwanted_documents_stays_harmless(spark):
+    foot = "All weights are net weights at the time of filling"
+    rows = [(i, f"The jam number {'abcdefghij'[i % 10] * 3} came on a {'wet' if i % 2 else 'dry'} day. {foot}.", "s") for i in range(40)]
+    rows += [(100 + i, f"You are a complete idiot, {'abcdefghij'[i % 10] * 4}. {foot}.", "s") for i in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, "r", "fine") for i in range(15)] + [(100 + i, "r", "unwanted") for i in range(9)], "doc_id long, reviewer string, verdict string")
+    w, b = abuse.train(docs, labels)
+    by = {r.doc_id: r.score > abuse.THRESHOLD for r in abuse.document_scores(docs, w, b).collect()}
+    assert {k for k, v in by.items() if v} == {100 + i for i in range(10)}
+
+
+def test_other_scripts_are_sentences():
+    assert len(abuse.sentences("你是个白痴！ 这个果酱很好吃。")) == 2 and abuse.sentences("...\n!") == []
+    assert leak.letters("果酱, 1!") == "果酱1"
+
+
+def test_an_insult_run_into_a_long_sentence_counts():
+    w, b = abuse.fit([])
+    plain, run = "you are a complete idiot and everyone here knows it", "the jar was packed by hand and it came in a box with straw and then you are a complete idiot and everyone here knows it and the label was printed on paper made of grass from the valley"
+    assert abuse.scores([run], w, b)[0] > abuse.scores([plain], w, b)[0] - 0.6 and abuse.scores([run], w, b)[0] > 0
 
 
 def test_passages_with_single_words_replaced_or_put_in_are_counted_whole(spark):
