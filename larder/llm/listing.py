@@ -1,262 +1,394 @@
 """Reading product listings and notices: kind of food, flavour, variant, net content, number of units and coined names.
 
-A text is folded, its net content and number of units are cut out, and its words are matched, longest phrase first, with
-the phrases of kinds, flavours and variants. A word that is no vocabulary word but short of vowels is taken as an
-abbreviation of the vocabulary word with its first letter of which it keeps the largest share of letters in order. Words
-that are left over and are no selling phrases or company words are coined names: brands and product lines.
+No word list tells what a word means: the vocabulary is learned from the catalogue itself (`learn`).
+
+* A word is common if it stands in names of several firms, else it is coined: the name of a brand or product line.
+* Neighbouring common words that mostly stand together are a phrase.
+* Two phrases mean the same if listings of one product line use either, not both: where the one stands in a listing, the other one's
+  rate in the line's other listings is near its own rate there. Other names, plurals, translations and short forms of a word all
+  come out as one concept this way; a phrase whose rate is the same in every line (selling phrases, particles) means nothing.
+* A concept that all listings of a line share is a kind of food. Of the others, a flavour shows in the ingredients, a variant
+  does not; the variant whose lines name none most often is the plain one.
+* Net contents are rounded when units are converted, so an amount close to one that is stated in metric units means that.
+
+A word that was too rare to be learned is taken as an abbreviation of the vocabulary word with its first letter of which it
+keeps the largest share of letters in order, if it is short of vowels.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from functools import lru_cache
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Sequence
 
 from larder.llm.text import fold, mend
 
-# Kinds of food with their other names.
-KINDS = {
-    "soy beverage": ("soya drink", "soy drink", "soy milk", "soya beverage"),
-    "oat beverage": ("oat drink", "oat milk"),
-    "frozen pizza": ("stone oven pizza", "pizza"),
-    "porridge pot": ("instant porridge", "porridge"),
-    "fruit spread": ("jam",),
-    "crackers": ("savoury crackers",),
-    "muesli flakes": ("muesli",),
-    "smoothie": ("fruit smoothie",),
-    "rice mix": ("seasoned rice",),
-    "granola": ("oat granola",),
-    "pasta sauce": ("sauce for pasta",),
-    "sorbet": ("fruit sorbet",),
-    "ice cream": ("dairy ice cream",),
-    "mustard": ("table mustard",),
-    "hummus": ("houmous", "humus"),
-    "kefir drink": ("drinking kefir", "kefir"),
-    "salad dressing": ("dressing",),
-    "tofu": ("firm tofu",),
-    "wafer rolls": ("wafers",),
-    "potato chips": ("potato crisps", "crisps", "pot chips"),
-    "iced tea": ("ice tea",),
-    "curry sauce": ("curry cooking sauce",),
-    "gummies": ("fruit gums",),
-    "yogurt": ("yoghurt",),
-    "sparkling water": ("fizzy water",),
-    "veggie burger": ("vegetable patty", "vegetable burger", "veggie patty"),
-    "chocolate bar": ("chocolate tablet",),
-    "fish sticks": ("fish fingers",),
-    "lemonade": ("cloudy lemonade",),
-    "noodle cup": ("instant noodles", "noodles"),
-    "corn chips": ("tortilla chips",),
-    "protein shake": ("protein drink",),
-    "cream cheese": ("soft cheese",),
-    "pancake mix": ("pancake batter mix",),
-    "roasted almonds": ("almonds roasted", "almonds"),
-    "protein bar": ("high protein bar",),
-    "tomato soup": ("soup with tomato", "soup tomato"),
-    "popcorn": ("popped corn",),
-    "nut spread": ("nut butter",),
-    "biscuits": ("cookies",),
-}
-# Flavours with their other names.
-FLAVOURS = {
-    "raspberry": ("raspberries",), "lemon ginger": ("ginger lemon",), "blueberry": ("blueberries",), "honey mustard": ("mustard honey",), "hazelnut": ("hazelnuts", "hazel"),
-    "banana": ("bananas",), "maple": ("maple syrup",), "mango": ("mangoes", "mangos"), "chili lime": ("lime chili",), "caramel": ("salted caramel",), "blackcurrant": ("cassis", "blackcurrants"),
-    "jalapeno": ("jalapenos",), "coconut": ("coconuts",), "barbecue": ("barbeque",), "sea salt": ("salted",), "rosemary": ("rosemary herb",), "basil": ("sweet basil",), "curry": ("madras curry",),
-    "smoked paprika": ("paprika smoked", "paprika"), "dark cocoa": ("cocoa",), "sesame": ("toasted sesame",), "spinach": ("leaf spinach",), "espresso": ("coffee",), "pistachio": ("pistachios",),
-    "lemon pepper": ("pepper lemon",), "roasted garlic": ("garlic",), "sour cream onion": ("onion sour cream", "sour cream and onion"), "passionfruit": ("passion fruit",), "strawberry": ("strawberries",),
-    "peach": ("peaches",), "apple cinnamon": ("cinnamon apple",), "vanilla": ("vanilla bean",), "wild cherry": ("cherry", "cherries"), "mushroom": ("mushrooms",), "olive": ("black olive", "olives", "black olives"),
-    "mint": ("peppermint",), "truffle": ("black truffle",), "cheddar": ("mature cheddar",),
-}
-# Variants with their other names; the plain one is also what a listing without a variant names.
-VARIANTS = {
-    "plain": ("original", "classic"), "light": ("lite",), "unsweetened": ("no added sugar",), "organic": ("bio",), "gluten free": ("free from gluten",), "low salt": ("reduced salt",),
-    "high fibre": ("high fiber",),
-}
-# Short forms that no rule tells apart.
-SHORT = {
-    "drk": "drink", "dk": "dark", "chs": "cheese", "rst": "roasted", "coc": "cocoa", "coco": "coconut", "sc": "sour cream", "s": "sea", "gf": "gluten free", "bbq": "barbecue", "hi": "high", "lo": "low",
-    "org": "organic", "choc": "chocolate", "bev": "beverage", "prot": "protein", "yog": "yogurt", "tom": "tomato", "crn": "corn", "unswtnd": "unsweetened", "frt": "fruit", "sprkl": "sparkling", "chl": "chili",
-    "ppr": "pepper", "papr": "paprika", "espr": "espresso", "cinn": "cinnamon", "appl": "apple", "sce": "sauce", "rstd": "roasted",
-}
-# Words of selling phrases, of notices and of company names, and particles.
-NOISE = set(
-    "hot deal best value top rated limited edition offer premium quality family favourite favorite ideal gift free shipping everyday low price chef chefs choice great taste delicious perfect snack our bestseller new multi buy "
-    "multibuy fresh stock save now sale special bestselling amazing flavoured flavored flavour flavor with by of the a an and for in from pack packs ct count x case net wt contents packaged brand product products lot lots code codes "
-    "exp best before use bb keep refrigerated frozen sold under jar glass bag box tub pouch carton bottle bottles can cans plastic upc date dates all sizes units unit container containers item items marketed distributed no size as seen in store shop online batch film wrapped well both either".split()
-)
-COMPANY = set("inc llc ltd limited co corp corporation company gmbh plc ag sa foods food provisions produce kitchens kitchen mills mill trading harvest hrvst pantry dairy bakehouse prod group holdings brands".split())
-
-# Usual net contents in g and ml; a statement within 1.6 % of one means it.
-USUAL = {"g": (25, 30, 40, 50, 60, 75, 80, 85, 100, 113, 125, 150, 170, 200, 227, 250, 283, 300, 340, 350, 400, 454, 500, 567, 600, 650, 680, 700, 750, 800, 907, 1000, 1200, 1250, 1361, 1500, 1814, 2000, 2268, 2500, 3000, 5000), "ml": (50, 100, 150, 177, 200, 237, 250, 296, 300, 330, 355, 375, 400, 473, 500, 591, 600, 650, 700, 710, 750, 887, 946, 1000, 1250, 1420, 1500, 1750, 1892, 2000, 2500, 3000, 3785, 5000)}
+#: A word is common from this many firms on (effective number, by which one firm's many listings count little).
+FIRMS = 4.0
+#: Least count of a phrase, share of its rarer word's listings that it makes up, and times by which its words stand together more
+#: often than by chance.
+LEAST, TOGETHER, LIFT = 5, 0.1, 3.0
+#: Times by which a concept is more frequent in lines that use it than elsewhere, and its least rate there.
+STICKY, OWN = 1.8, 0.1
+#: Share of a concept's own rate that a phrase of the same meaning reaches; least listings of a new concept.
+SAME, NEW = 0.65, 25
+#: Share of a phrase's listings that may have another phrase of the same meaning.
+APART = 0.1
+#: Share of the listings of its lines that use a kind of food.
+KIND = 0.75
+#: Share of listings that a flavour's ingredient has beyond that of all listings.
+SHOWS = 0.4
+#: Relative distance of amounts that are one amount, converted and rounded.
+ROUNDED = 0.016
+
+# Factors of units of mass and volume.
 _FACTOR = {"g": ("g", 1.0), "kg": ("g", 1000.0), "mg": ("g", 0.001), "oz": ("g", 28.349523125), "lb": ("g", 453.59237), "ml": ("ml", 1.0), "cl": ("ml", 10.0), "dl": ("ml", 100.0), "l": ("ml", 1000.0), "floz": ("ml", 29.5735295625)}
+_METRIC = ("g", "kg", "ml", "cl", "dl", "l")
 
 _UNIT = r"(fl\.?\s*oz|fl\.?\s*ounces?|fluid\s*ounces?|kg|kilograms?|grams?|gr|g|ounces?|oz|lbs?|pounds?|milliliters?|millilitres?|ml|cl|dl|liters?|litres?|l)"
 _SIZE = re.compile(rf"(?<![a-z0-9.])(?:(\d{{1,3}})\s*[x×]\s*)?(\d+(?:[.,]\d+)?)\s*{_UNIT}(?![a-z])\.?")
 _COUNT = re.compile(r"\bpack of (\d{1,3})\b|\b(\d{1,3})\s*[- ]\s*pack\b|\b(\d{1,3})\s*(?:ct|count|pk|pcs)\b\.?|\bcase of (\d{1,3})\b")
 _DIGIT = re.compile("[0-9]")
-_TOKEN = re.compile(r"[a-z]+(?:'s)?")
+_TOKEN = re.compile(r"[^\W\d_]+(?:'s)?")
+_PIECE = re.compile(r"[^\W\d_]+(?:'s)?|[|,;():]")
 _MARKS = re.compile(r"[®™©]")
 _JOINED = re.compile(r"(?<=[a-z])-(?=[a-z])")
+_ITEM = re.compile(r"[,;•]")
+_SHARE = re.compile(r"\([^()]*\)|\*.*$|\.\s.*$|\.$")
 
 
-def _unit(u: str) -> str:
+def folded(name: str) -> str:
+    return fold(mend(_MARKS.sub(" ", name)))
+
+
+def unit_of(u: str) -> str:
+    """Symbol of a unit as written."""
     u = re.sub(r"[\s.]", "", u)
     if u.startswith("fl"):
         return "floz"
     return {"kilogram": "kg", "gram": "g", "gr": "g", "ounce": "oz", "lb": "lb", "pound": "lb", "milliliter": "ml", "millilitre": "ml", "liter": "l", "litre": "l"}.get(u.rstrip("s") if len(u) > 2 else u, u)
 
 
-@lru_cache(200_000)
-def net_content(number: str, unit: str) -> str:
-    """Canonical net content of one unit, e.g. 340g or 473ml."""
-    kind, factor = _FACTOR[_unit(unit)]
-    v = float(number.replace(",", ".")) * factor
-    near = min(USUAL[kind], key=lambda u: abs(u - v))
-    if abs(near - v) <= 0.016 * near:
-        v = near
-    return f"{v:.3g}{kind}" if v < 100 else f"{round(v)}{kind}"
-
-
-def _phrases() -> tuple[dict[tuple[str, ...], tuple[str, str]], int, set[str]]:
-    table: dict[tuple[str, ...], tuple[str, str]] = {}
-    for label, of in (("kind", KINDS), ("flavour", FLAVOURS), ("variant", VARIANTS)):
-        for name, others in of.items():
-            for p in (name, *others):
-                if p != "plain":
-                    table[tuple(w for w in p.split() if w not in ("with", "for", "and", "from"))] = (label, name)
-    return table, max(map(len, table)), {w for p in table for w in p}
-
-
-PHRASES, _LONGEST, WORDS = _phrases()
-PARTICLES = frozenset(("with", "for", "and", "from", "flavoured", "flavored"))
-#: Lengths of the phrases that begin with a word, the longest first.
-_LENGTHS = {w: sorted({len(p) for p in PHRASES if p[0] == w}, reverse=True) for w in WORDS}
-
-
-@lru_cache(500_000)
-def word(token: str) -> tuple[str, ...]:
-    """Vocabulary word(s) of a token, or the token itself."""
-    if token in WORDS:
-        return (token,)
-    if token in SHORT:
-        return tuple(SHORT[token].split())
-    vowels = sum(c in "aeiou" for c in token)
-    if 2 < len(token) <= 8 and vowels * 3 <= len(token) and token not in NOISE and token not in COMPANY:
-        best, share = None, 0.34
-        for w in WORDS:
-            if w[0] == token[0] and len(w) > len(token):
-                it = iter(w)
-                if all(c in it for c in token) and len(token) / len(w) > share:
-                    best, share = w, len(token) / len(w)
-        if best:
-            return (best,)
-    if token.endswith("s") and token[:-1] in WORDS:
-        return (token[:-1],)
-    return (token,)
-
-
-@lru_cache(100_000)
-def coined(name: str | None) -> tuple[str, ...]:
-    """Coined words of a brand or firm name."""
-    if not name:
-        return ()
-    text = _JOINED.sub("", fold(_MARKS.sub(" ", name)))
-    return tuple(dict.fromkeys(t for t in _TOKEN.findall(text) if t not in COMPANY and t not in NOISE and len(t) > 2 and t not in SUFFIX))
-
-
-# Common second words of brand names.
-SUFFIX = set("daughters sons farm farms garden gardens valley hill hills table house brothers bros organics naturals".split())
+def measure(number: str, unit: str) -> tuple[str, float]:
+    """g or ml, and the amount in it."""
+    kind, factor = _FACTOR[unit_of(unit)]
+    return kind, float(number.replace(",", ".")) * factor
 
 
-class Parsed:
-    """What a text says; `flavours` in the order named, other attributes None if nothing is said."""
-
-    __slots__ = ("kind", "flavours", "variant", "size", "units", "names")
-
-
-def read(text: str) -> Parsed:
-    """Read a listing name or a notice."""
-    out = Parsed()
-    t = fold(mend(_MARKS.sub(" ", text))).replace("sauce for pasta", "pasta sauce")
-    out.size, units = None, None
+def pieces(name: str) -> list[str]:
+    """Words of a name in order, with marks between its parts; amounts and counts are left out."""
+    t = folded(name)
     if _DIGIT.search(t):
-        m = _SIZE.search(t)
-        if m:
-            out.size = net_content(m.group(2), m.group(3))
-            if m.group(1):
-                units = int(m.group(1))
-            t = f"{t[: m.start()]} | {t[m.end() :]}"
-            if _DIGIT.search(t):
-                t = _SIZE.sub(" | ", t)
-        c = _COUNT.search(t) if _DIGIT.search(t) else None
-        if c:
-            units = units or int(next(g for g in c.groups() if g))
-            t = _COUNT.sub(" | ", t)
-    out.units = units if units else (1 if out.size else None)
-    tokens: list[str] = []
-    for raw in _hyphened(t) if "-" in t else _TOKEN.findall(t):
-        tokens.extend(word(raw))
-    out.kind, out.variant, out.flavours, out.names = None, None, [], []
-    i, n = 0, len(tokens)
-    while i < n:
-        # Only the lengths of phrases that begin with this word are tried; particles inside a phrase are skipped.
-        for k in _LENGTHS.get(tokens[i], ()):
-            if i + k > n:
-                continue
-            hit = PHRASES.get(tuple(tokens[i : i + k]))
-            if not hit and 1 < k and i + k < n and not PARTICLES.isdisjoint(tokens[i + 1 : i + k]):
-                hit = PHRASES.get(tuple(w for w in tokens[i : i + k + 1] if w not in PARTICLES))
-                k += bool(hit)
-            if hit:
-                label, name = hit
-                if label == "flavour":
-                    if name not in out.flavours:
-                        out.flavours.append(name)
-                elif label == "kind":
-                    if out.kind is None:
-                        out.kind = name
-                    elif name != out.kind and name == "mustard" and not out.flavours:
-                        pass
-                    elif out.kind == "mustard":
-                        out.kind = name
-                elif out.variant is None:
-                    out.variant = name
-                i += k
-                break
+        t = _COUNT.sub(" | ", _SIZE.sub(" | ", t))
+    return _PIECE.findall(t.replace("-", " "))
+
+
+def words_of(name: str | None, joined: bool = True) -> list[str]:
+    """All words of a name; those joined by hyphens are one word if `joined`."""
+    return _TOKEN.findall(_JOINED.sub("" if joined else " ", folded(name))) if name else []
+
+
+def items_of(ingredients: str | None) -> set[str]:
+    """Ingredients of a list, without shares, remarks and the word before the first one."""
+    if not ingredients:
+        return set()
+    text = fold(mend(ingredients))
+    return {i for i in (_SHARE.sub("", x.split(":")[-1]).strip() for x in _ITEM.split(text)) if i}
+
+
+class Vocabulary:
+    """What the words of names mean. `phrases`: words to (role, code, weight); `common`: words that are no coined names; `usual`:
+    amounts stated in metric units; `names`: (role, code) to the most frequent phrase; `plain`: code of the plain variant."""
+
+    def __init__(self, phrases: dict[tuple[str, ...], tuple[str, int, float]], common: Iterable[str], usual: dict[str, Sequence[float]], plain: int = 0):
+        self.phrases, self.common, self.plain = phrases, frozenset(common), plain
+        self.usual = {k: tuple(sorted(v)) for k, v in usual.items()}
+        self.words = frozenset(w for p in phrases for w in p)
+        self.lengths = {w: sorted({len(p) for p in phrases if p[0] == w}, reverse=True) for w in {p[0] for p in phrases}}
+        self.by_letter: dict[str, list[str]] = defaultdict(list)
+        for w in sorted(self.words):
+            self.by_letter[w[0]].append(w)
+
+    def name(self, role: str, code: int) -> str:
+        """The heaviest phrase of a concept (ties: the longest, then the first)."""
+        return " ".join(min((p for p, (r, c, _) in self.phrases.items() if (r, c) == (role, code)), key=lambda p: (-self.phrases[p][2], -len(p), p)))
+
+
+def _common(rows: list[tuple[list[str], str | None]]) -> set[str]:
+    """Words of (words, firm) that stand with at least FIRMS effective firms."""
+    by: dict[str, Counter] = defaultdict(Counter)
+    for words, firm in rows:
+        for w in set(words):
+            by[w][firm] += 1
+    return {w for w, c in by.items() if sum(c.values()) ** 2 >= FIRMS * sum(v * v for v in c.values())}
+
+
+def common_words(rows: list[tuple[str | None, str | None, str | None]], notices: list[tuple[str | None, str | None]] = ()) -> tuple[set[str], set[str]]:
+    """Common words of listings (name, brand, firm) and notices (text, firm), and those of them that belong to brands: second
+    words of brand names, company words."""
+    read = [(words_of(n, False), words_of(b), words_of(o)) for n, b, o in rows]
+    first = lambda b, o: o[0] if o else b[0] if b else None
+    of_names = _common([(t, first(b, o)) for t, b, o in read if b or o])
+    # In firm and brand names the first word is the firm itself.
+    of_firms = _common([(o[1:], first(b, o)) for _, b, o in read if o]) | _common([(b[1:], first(b, o)) for _, b, o in read if b])
+    of_notices = _common([(words_of(t, False), (words_of(f) or [None])[0]) for t, f in notices])
+    beside, there = Counter(), Counter()
+    for t, b, o in read:
+        s = {*b, *o}
+        for w in set(t) & of_names:
+            there[w] += 1
+            beside[w] += w in s
+    house = {w for w, n in there.items() if beside[w] * 3 >= n} | of_firms - of_names
+    return of_names | of_firms | of_notices, house
+
+
+def learn(rows: list[tuple[str, str | None, str | None, str | None]], common: set[str], house: set[str], most: int = 40) -> Vocabulary:
+    """Vocabulary from listings (name, brand, firm, ingredients), whole lines of them, of which at most `most` count each. Without
+    lines of several listings nothing but the common words is learned."""
+    ok = lambda w: w in common and w not in house and w[0].isalpha()
+    read = [(pieces(n), {*words_of(b), *words_of(o)}, items_of(i)) for n, b, o, i in rows if n]
+    one, two, three = Counter(), Counter(), Counter()
+    for t, _, _ in read:
+        one.update(set(t))
+        two.update({x for x in zip(t, t[1:]) if ok(x[0]) and ok(x[1])})
+        three.update({x for x in zip(t, t[1:], t[2:]) if ok(x[0]) and ok(x[1]) and ok(x[2])})
+    pairs = {x for x, n in two.items() if n >= LEAST and n >= TOGETHER * min(one[x[0]], one[x[1]]) and n * len(read) >= LIFT * one[x[0]] * one[x[1]]}
+    known = pairs | {x for x, n in three.items() if n >= LEAST and x[:2] in pairs and x[1:] in pairs and 2 * n >= max(two[x[:2]], two[x[1:]])}
+
+    def parse(t: list[str]) -> set[tuple[str, ...]]:
+        out, i = set(), 0
+        while i < len(t):
+            p = next((tuple(t[i : i + k]) for k in (3, 2) if tuple(t[i : i + k]) in known), (t[i],))
+            if ok(p[0]):
+                out.add(p)
+            i += len(p)
+        return out
+
+    lines: dict[str, list] = defaultdict(list)
+    for t, around, items in read:
+        names = {w for w in t if w[0].isalpha() and w not in common and w not in around and len(w) > 2}
+        if len(names) == 1 and len(lines[line := names.pop()]) < most:
+            lines[line].append((parse(t), items))
+    lines = {k: v for k, v in lines.items() if len(v) > 1}
+    size = {k: len(v) for k, v in lines.items()}
+    total = sum(size.values())
+    n: Counter = Counter()
+    both: Counter = Counter()
+    per: dict[tuple[str, ...], Counter] = defaultdict(Counter)
+    for k, v in lines.items():
+        for ps, _ in v:
+            for p in ps:
+                n[p] += 1
+                per[p][k] += 1
+            both.update((p, q) for p in ps for q in ps if p < q)
+
+    def rate(p: Counter, q: Counter, own: bool = False) -> float:
+        """Rate of q in the other listings of the lines of p, each line as often as p stands in it."""
+        seen = sum(c * (size[k] - 1) for k, c in p.items())
+        return sum(c * (q[k] - own) for k, c in p.items() if k in q) / seen if seen else 0.0
+
+    def beside(p: tuple[str, ...], concept: dict) -> float:
+        """Share of the listings of p that have the concept in other words."""
+        return sum(both[min(p, q), max(p, q)] for q, _ in concept["phrases"]) / n[p]
+
+    concepts: list[dict] = []
+    at: dict[str, set[int]] = defaultdict(set)
+    for p in sorted((p for p in n if n[p] >= LEAST), key=lambda p: (-n[p], p)):
+        near = Counter(k for line in per[p] for k in at[line])
+        rated = [(rate(per[p], concepts[k]["per"]), k) for k, _ in near.most_common(50)]
+        # Names of one thing do not stand together, unless the one never stands without the other.
+        alone = lambda k: (s := beside(p, concepts[k])) <= APART or s >= 1 - 2 * APART and n[p] >= NEW  # noqa: E731, B023
+        rated = [(r, k) for r, k in rated if alone(k) and r >= max(SAME * concepts[k]["own"], STICKY * sum(concepts[k]["per"].values()) / total)]
+        if rated:
+            r, k = max(rated)
+            concepts[k]["phrases"].append((p, r))
+            concepts[k]["per"] += per[p]
+            concepts[k]["own"] = rate(concepts[k]["per"], concepts[k]["per"], True)
+        elif n[p] >= NEW and (own := rate(per[p], per[p], True)) >= max(OWN, STICKY * n[p] / total):
+            k = len(concepts)
+            concepts.append({"phrases": [(p, own)], "per": Counter(per[p]), "own": own})
         else:
-            w = tokens[i]
-            if len(w) > 2 and w not in NOISE and w not in WORDS and w not in SUFFIX and w not in COMPANY and not w.endswith("'s"):
-                out.names.append(w)
-            i += 1
-    return out
-
-
-def _hyphened(t: str) -> list[str]:
-    """Tokens of a text with hyphens: vocabulary words are separated at it, other words joined."""
+            continue
+        for line in per[p]:
+            at[line].add(k)
+
+    role_of = _roles(concepts, [x for v in lines.values() for x in v])
+    phrases, codes, plain = {}, Counter(), 0
+    unnamed = _unnamed(concepts, role_of, lines)
+    best = max((k for k, r in enumerate(role_of) if r == "variant"), key=lambda k: rate(unnamed, concepts[k]["per"]) / max(concepts[k]["own"], 1e-9), default=None)
+    for k, c in enumerate(concepts):
+        codes[role_of[k]] += 1
+        if k == best:
+            plain = codes["variant"]
+        for p, w in c["phrases"]:
+            phrases[p] = (role_of[k], codes[role_of[k]], round(w, 4))
+    return Vocabulary(phrases, common | house, _usual(rows), plain)
+
+
+def _roles(concepts: list[dict], listings: list[tuple[set, set[str]]]) -> list[str]:
+    """Role of each concept: kind, flavour or variant."""
+    of = {p: k for k, c in enumerate(concepts) for p, _ in c["phrases"]}
+    whole, told = Counter(), 0
+    by: list[Counter] = [Counter() for _ in concepts]
+    n = Counter()
+    for ps, items in listings:
+        if items:
+            told += 1
+            whole.update(items)
+            for k in {of[p] for p in ps if p in of}:
+                n[k] += 1
+                by[k].update(items)
     out = []
-    for chunk in t.split():
-        parts = [p for p in chunk.split("-") if p]
-        if len(parts) > 1 and all(_TOKEN.fullmatch(p.strip("(),;.|:")) for p in parts) and not all(p.strip("(),;.|:") in WORDS or p.strip("(),;.|:") in NOISE for p in parts):
-            chunk = "".join(parts)
-        out.extend(_TOKEN.findall(chunk.replace("-", " ")))
+    for k, c in enumerate(concepts):
+        shown = max((v / n[k] - whole[i] / told for i, v in by[k].items()), default=0.0)
+        out.append("kind" if c["own"] >= KIND else "flavour" if shown >= SHOWS or not told else "variant")
     return out
 
 
-KIND_CODES = {k: i for i, k in enumerate(KINDS)}
-FLAVOUR_CODES = {f: i + 1 for i, f in enumerate(FLAVOURS)}
-VARIANT_CODES = {v: i for i, v in enumerate(VARIANTS)}
-
-
-def flavour_code(flavours: list[str]) -> int | None:
-    """One number for a set of flavours; null for none."""
-    code = 0
-    for f in sorted(FLAVOUR_CODES[x] for x in flavours[:8]):
-        code = code * 64 + f
-    return code or None
+def _unnamed(concepts: list[dict], role_of: list[str], lines: dict[str, list]) -> Counter:
+    """Listings per line that name no variant."""
+    variants = {p for k, c in enumerate(concepts) if role_of[k] == "variant" for p, _ in c["phrases"]}
+    return Counter({k: m for k, v in lines.items() if (m := sum(not (ps & variants) for ps, _ in v))})
+
+
+def _usual(rows: list[tuple[str, str | None, str | None, str | None]]) -> dict[str, list[float]]:
+    """Amounts that names of at least three different first words state in metric units."""
+    said: dict[tuple[str, float], set[str]] = defaultdict(set)
+    for name, *_ in rows:
+        for m in _SIZE.finditer(folded(name)) if name and _DIGIT.search(name) else ():
+            if unit_of(m.group(3)) in _METRIC:
+                kind, v = measure(m.group(2), m.group(3))
+                said[kind, round(v, 3)].add(name[:12])
+    out: dict[str, list[float]] = {"g": [], "ml": []}
+    for (kind, v), names in sorted(said.items()):
+        if len(names) >= 3:
+            out[kind].append(v)
+    return out
 
 
-def content_code(size: str | None, units: int | None) -> int | None:
-    """One number for a net content and the number of units: units, then tenths of g or ml, then 1 for ml."""
+class Parsed:
+    """What a text says; `flavours` and `names` in the order named, other attributes None if nothing is said."""
+
+    __slots__ = ("kind", "flavours", "variant", "content", "names")
+
+
+class Reader:
+    """Reads names with a vocabulary."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
+        self._word: dict[str, str] = {}
+        self._names: dict[str, tuple[str, ...]] = {}
+        self._amount: dict[tuple[str, str], tuple[str, float]] = {}
+
+    def word(self, token: str) -> str:
+        """Vocabulary word of a token, or the token itself."""
+        v = self.v
+        if token in v.words or token in v.common:
+            return token
+        if token not in self._word:
+            if len(self._word) > 200_000:
+                self._word.clear()
+            best, share = token, 0.34
+            if 2 < len(token) <= 8 and sum(c in "aeiou" for c in token) * 3 <= len(token):
+                for w in v.by_letter.get(token[0], ()):
+                    if len(w) > len(token) and len(token) / len(w) > share:
+                        it = iter(w)
+                        if all(c in it for c in token):
+                            best, share = w, len(token) / len(w)
+            if best == token and token.endswith("s") and token[:-1] in v.words:
+                best = token[:-1]
+            self._word[token] = best
+        return self._word[token]
+
+    def coined(self, name: str | None) -> tuple[str, ...]:
+        """Coined words of a brand or firm name."""
+        if not name:
+            return ()
+        if name not in self._names:
+            if len(self._names) > 100_000:
+                self._names.clear()
+            self._names[name] = tuple(dict.fromkeys(t for t in words_of(name) if t not in self.v.common and len(t) > 2))
+        return self._names[name]
+
+    def amount(self, number: str, unit: str) -> tuple[str, float]:
+        """Unit and amount, as the usual amount that it rounds to, if any."""
+        key = (number, unit)
+        if key not in self._amount:
+            if len(self._amount) > 100_000:
+                self._amount.clear()
+            kind, value = measure(number, unit)
+            near = min(self.v.usual.get(kind, ()), key=lambda u: abs(u - value), default=None)
+            self._amount[key] = (kind, near if near is not None and abs(near - value) <= ROUNDED * near else value)
+        return self._amount[key]
+
+    def read(self, text: str) -> Parsed:
+        """Read a listing name or a notice."""
+        v, out = self.v, Parsed()
+        t = folded(text)
+        size = units = None
+        if _DIGIT.search(t):
+            m = _SIZE.search(t)
+            if m:
+                size = self.amount(m.group(2), m.group(3))
+                units = int(m.group(1)) if m.group(1) else None
+                t = f"{t[: m.start()]} | {t[m.end() :]}"
+                if _DIGIT.search(t):
+                    t = _SIZE.sub(" | ", t)
+            c = _COUNT.search(t) if _DIGIT.search(t) else None
+            if c:
+                units = units or int(next(g for g in c.groups() if g))
+                t = _COUNT.sub(" | ", t)
+        out.content = content_code(size, units)
+        tokens = [self.word(x) for x in (self._hyphened(t) if "-" in t else _PIECE.findall(t))]
+        out.kind, out.variant, out.flavours, out.names = None, None, [], []
+        weight, i = 0.0, 0
+        while i < len(tokens):
+            for k in v.lengths.get(tokens[i], ()):
+                hit = v.phrases.get(tuple(tokens[i : i + k]))
+                if hit:
+                    role, code, w = hit
+                    if role == "flavour":
+                        if code not in out.flavours:
+                            out.flavours.append(code)
+                    elif role == "kind":
+                        if w > weight:
+                            out.kind, weight = code, w
+                    elif out.variant is None:
+                        out.variant = code
+                    i += k
+                    break
+            else:
+                w = tokens[i]
+                if len(w) > 2 and w not in v.common and w not in v.words and not w.endswith("'s"):
+                    out.names.append(w)
+                i += 1
+        return out
+
+    def _hyphened(self, t: str) -> list[str]:
+        """Tokens of a text with hyphens: common words are separated at it, coined ones joined."""
+        out = []
+        for chunk in t.split():
+            parts = [p for p in chunk.split("-") if p]
+            bare = [p.strip("(),;.|:") for p in parts]
+            if len(parts) > 1 and all(_TOKEN.fullmatch(p) for p in bare) and not all(p in self.v.words or p in self.v.common for p in bare):
+                chunk = "".join(parts)
+            out.extend(_PIECE.findall(chunk.replace("-", " ")))
+        return out
+
+
+def flavour_code(flavours: Sequence[int]) -> int | None:
+    """One number for a set of flavours: a single one's own, else a 62-bit hash; null for none."""
+    if len(flavours) < 2:
+        return flavours[0] if flavours else None
+    return int.from_bytes(hashlib.blake2b(",".join(map(str, sorted(flavours))).encode(), digest_size=8).digest(), "big") >> 2 | 1 << 61
+
+
+def content_code(size: tuple[str, float] | None, units: int | None) -> int | None:
+    """One number for a net content and the number of units: units, then tenths of g or ml, then 1 for ml; null without a size."""
     if not size:
         return None
-    number = float(size.rstrip("gml"))
-    return (units or 1) * 10**9 + int(round(number * 10)) * 10 + (1 if size.endswith("ml") else 0)
+    kind, value = size
+    tenths = round(float(f"{value:.3g}") * 10) if value < 100 else round(value) * 10
+    return (units or 1) * 10**9 + tenths * 10 + (kind == "ml")

@@ -5,12 +5,14 @@ some of them unknown. Equal profiles are one from the start, so copies of any nu
 an unknown attribute takes the value of the profiles it is blocked with if they all agree on one. The richer profiles are
 blocked and matched again, until no profile changes. Profiles with all attributes equal are one product.
 
+The words of names are read with a vocabulary that is learned from the catalogue (`vocabulary`, `listing.learn`).
+
 Coined names (brands, lines) are first brought to one spelling: a name, rare by itself or beside the other, that one typing
 slip (a letter lost, doubled, added or two swapped) turns into a more frequent one is taken as that. Candidates for this
 share a form with one letter left out, so nothing is compared pair by pair. A name is a brand if it mostly stands among the
 firm names of its listings, or among their brand names for several kinds of food or many listings, else a product line.
 
-All attributes are numbers (codes of the vocabulary, 64-bit codes of coined names), so that the many small aggregations run on hashes.
+All attributes are numbers (codes of the vocabulary, numbers of coined names), so that the many small aggregations run on hashes.
 """
 
 from __future__ import annotations
@@ -30,23 +32,52 @@ _SAID = ["kind", "flavour", "variant", "content"]
 _ROWS = "record_id long, copy long, said string, kind int, flavour long, variant int, content long"
 
 
-def read_listings(df: DataFrame) -> DataFrame:
+def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int = 15_000, line_rows: int = 40_000, notice_rows: int = 5_000) -> listing.Vocabulary:
+    """Vocabulary of a catalogue, fitted on a bounded sample of whole rows in the order of hashes: `spread_rows` listings and
+    `notice_rows` notices tell the common words, `line_rows` listings of whole product lines tell what they mean. A line is known
+    by the one word of a name that is neither common nor in the listing's firm and brand names; at most 40 listings of each
+    are taken, copies once."""
+    columns = ["product_name", "brand_name", "brand_owner"]
+    named = df.filter("product_name is not null")
+    total = named.count()
+    first = lambda d, h, n, of: d.filter(F.pmod(h, F.lit(1 << 30)) < int(min(1.0, 1.3 * n / max(of, 1)) * (1 << 30))).orderBy(h, *d.columns).limit(n)
+    spread = [tuple(r) for r in first(named.select(*columns), F.xxhash64(*columns), spread_rows, total).collect()]
+    said = []
+    if notices is not None:
+        notices = notices.select("product_description", "recalling_firm").filter("product_description is not null")
+        said = [tuple(r) for r in first(notices, F.xxhash64(*notices.columns), notice_rows, notices.count()).collect()]
+    common, house = listing.common_words(spread, said)
+    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}]+)"), F.lit(1))
+    known = F.array(*[F.lit(w) for w in sorted(common)]) if common else F.array().cast("array<string>")
+    names = F.array_except(F.array_except(F.filter(words(F.col("product_name")), lambda w: F.length(w) > 2), known), words(F.concat_ws(" ", "brand_name", "brand_owner")))
+    keyed = named.select(*columns, "ingredients", F.when(F.size(names) == 1, names[0]).alias("line")).filter("line is not null")
+    of_line = F.pmod(F.xxhash64("line"), F.lit(1 << 30))
+    keyed = keyed.filter(of_line < int(min(1.0, 1.3 * line_rows / max(total, 1)) * (1 << 30))).dropDuplicates([*columns, "line"])
+    few = keyed.withColumn("_i", F.row_number().over(W.partitionBy("line").orderBy(F.xxhash64(*columns)))).filter("_i <= 40")
+    rows = few.orderBy(F.xxhash64("line"), "line", "_i").limit(line_rows).select(*columns, "ingredients").collect()
+    return listing.learn([tuple(r) for r in rows], common, house)
+
+
+def read_listings(df: DataFrame, words: listing.Vocabulary) -> DataFrame:
     """Attributes of every listing with a product name that is not null (a blank one says nothing). `said` has the coined names
     of the product and brand names in order, each with 1 added if it is in the brand name and 2 if in the firm's."""
+    sent = df.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = listing.Reader(sent.value)
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
             for name, brand, owner in zip(b["product_name"].to_pylist(), b["brand_name"].to_pylist(), b["brand_owner"].to_pylist()):
-                p = listing.read(name)
-                brands, owners = listing.coined(brand), listing.coined(owner)
+                p = reader.read(name)
+                brands, owners = reader.coined(brand), reader.coined(owner)
                 said = " ".join(f"{n}{(n in brands) + 2 * (n in owners)}" for n in sorted({*p.names, *brands}))
-                values = (said, listing.KIND_CODES.get(p.kind), listing.flavour_code(p.flavours), listing.VARIANT_CODES[p.variant or "plain"], listing.content_code(p.size, p.units))
+                values = (said, p.kind, listing.flavour_code(p.flavours), words_plain if p.variant is None else p.variant, p.content)
                 for to, v in zip(out, values):
                     to.append(v)
             types = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([b["record_id"], b["copy"], *(pa.array(o, t) for o, t in zip(out, types))], names=["record_id", "copy", "said", *_SAID])
 
+    words_plain = words.plain
     rows = df.filter("product_name is not null").select("record_id", F.xxhash64("product_name", "brand_name", "brand_owner").alias("copy"), "product_name", "brand_name", "brand_owner")
     return rows.mapInArrow(run, _ROWS)
 
@@ -204,24 +235,29 @@ def product_groups(df: DataFrame) -> DataFrame:
 
     A listing whose line or net content stays unknown (no other listing tells it, or several differ) is one product with its
     exact copies only; if no listing of its product states a net content, all of them are one. No name, no row."""
-    rows = cut(read_listings(df))
+    rows = cut(read_listings(df, vocabulary(df)))
     return members(rows, merged(rows, *name_roles(rows))[0]).select("record_id", F.coalesce("product", F.xxhash64("copy", "profile")).alias("product"))
 
 
 def product_table(df: DataFrame) -> DataFrame:
-    """(record_id, product, brand, line, kind, flavour, variant, units, size_tenths, size_unit) of every listing, in words."""
-    rows = cut(read_listings(df))
+    """(record_id, product, brand, line, kind, flavour, variant, units, size_tenths, size_unit) of every listing, in words: those of
+    the most telling phrase of each kind, flavour and variant. `flavour` is null where a name tells several."""
+    known = vocabulary(df)
+    rows = cut(read_listings(df, known))
     said, roles = name_roles(rows)
     readings, p = merged(rows, said, roles)
     listings = members(rows, readings).withColumn("product", F.coalesce("product", F.xxhash64("copy", "profile")))
     words = roles.groupBy("code").agg(F.min("right").alias("word"))
-    table = lambda codes: F.create_map(*[F.lit(x) for k, v in codes.items() for x in (v, k)])
     out = listings.join(p.drop("product"), "profile")
     for c in ("brand", "line"):
         out = out.join(words.select(F.col("code").alias(c), F.col("word").alias(f"{c}_word")), c, "left").drop(c).withColumnRenamed(f"{c}_word", c)
+
+    def word(role: str) -> Column:
+        pairs = [x for r, k in sorted({x[:2] for x in known.phrases.values()}) if r == role for x in (F.lit(k).cast("long"), F.lit(known.name(r, k)))]
+        return (F.try_element_at(F.create_map(*pairs), F.col(role).cast("long")) if pairs else F.lit(None).cast("string")).alias(role)
+
     return out.select(
-        "record_id", "product", "brand", "line", F.try_element_at(table(listing.KIND_CODES), F.col("kind")).alias("kind"), F.try_element_at(table(listing.FLAVOUR_CODES), F.col("flavour").cast("int")).alias("flavour"),
-        F.try_element_at(table(listing.VARIANT_CODES), F.col("variant")).alias("variant"), F.floor(F.col("content") / 10**9).alias("units"), F.floor(F.pmod("content", F.lit(10**9)) / 10).alias("size_tenths"),
+        "record_id", "product", "brand", "line", word("kind"), word("flavour"), word("variant"), F.floor(F.col("content") / 10**9).alias("units"), F.floor(F.pmod("content", F.lit(10**9)) / 10).alias("size_tenths"),
         F.when(F.pmod("content", F.lit(10)) == 1, "ml").when(F.col("content").isNotNull(), "g").alias("size_unit"),
     )
 
