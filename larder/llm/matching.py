@@ -102,20 +102,35 @@ def slips(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, "h").filter((F.col("a") != F.col("b")) & (F.levenshtein("a", "b") <= 2)).select(*columns)
 
 
-def spellings(tokens: DataFrame, rare: int = 5, share: float = 0.02) -> DataFrame:
-    """(token, right) for tokens (token, n) of at most `rare` listings, or `share` of those of the other, that are one slip away
-    from a more frequent token (the most frequent such; ties: the first in the alphabet)."""
+def _slip_count(n: Column, share: float = 0.02, spread: float = 1.5) -> Column:
+    """Most listings that one slip of a name of `n` listings has: a share of them and what chance adds, at any size."""
+    return n * share + F.sqrt(n) * spread
+
+
+def spellings(tokens: DataFrame) -> DataFrame:
+    """(token, right) for tokens (token, n) that are one slip away from a more frequent token (the most frequent such; ties: the
+    first in the alphabet) and as rare beside it as slips are."""
     few = tokens.crossJoin(F.broadcast(tokens.agg(F.max("n").alias("top"))))  # one row
-    few = few.filter(F.col("n") <= F.greatest(F.lit(rare), F.col("top") * share)).select(F.col("token").alias("a"), F.col("n").alias("m"))
+    few = few.filter(F.col("n") <= _slip_count(F.col("top"))).select(F.col("token").alias("a"), F.col("n").alias("m"))
     near = slips(few, tokens.select(F.col("token").alias("b"), "n"))
-    near = near.filter((F.col("m") <= F.greatest(F.lit(rare), F.col("n") * share)) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("b") < F.col("a")))))
+    near = near.filter((F.col("m") <= _slip_count(F.col("n"))) & ((F.col("n") > F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("b") < F.col("a")))))
     return near.groupBy(F.col("a").alias("token")).agg(F.max_by("b", F.struct("n", F.transform(F.split("b", ""), lambda c: -F.ascii(c)))).alias("right"))
 
 
-def name_roles(rows: DataFrame, further: DataFrame | None = None, rare: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(said, token, among, owns) of every distinct `said`, and (token, right, n, is_brand, is_firm, code). `code` is a number for
-    the right spelling that grows with its share among brand names, then with its listings: the line of a listing has the
-    least code among its names. Names of `further` (token) that no listing has come along with n = 0, or with the spelling of a
+def _numbered(names: DataFrame, order: list[str]) -> DataFrame:
+    """`names` with `code`, the position in the order given, from 1: a range sort and the counts of its partitions."""
+    placed = cut(names.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = placed.groupBy("_part").count()
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    parts = parts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_n0"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return placed.withColumn("_i", inside).join(F.broadcast(parts), "_part").withColumn("code", F.col("_n0") + F.col("_i")).drop("_part", "_i", "_n0")
+
+
+def name_roles(rows: DataFrame, further: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(said, token, among, owns) of every distinct `said`, and (token, right, n, is_brand, is_firm, code). `code` numbers the
+    right spellings by their share among brand names, then by their listings: the line of a listing has the least code among
+    its names. Names of `further` (token) that no listing has come along with n = 0, or with the spelling of a
     listed name that they are one slip away from."""
     sets = rows.groupBy("said").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("k0"), F.max("kind").alias("k1"))
     said = sets.select(F.xxhash64("said").alias("said"), "n", "k0", "k1", F.explode(F.split("said", " ")).alias("t")).filter("t <> ''")
@@ -126,13 +141,17 @@ def name_roles(rows: DataFrame, further: DataFrame | None = None, rare: int = 5)
     if further is not None:
         new = further.join(counts.select("token"), "token", "left_anti")
         counts = cut(counts.unionByName(new.select("token", *[F.lit(0).cast("long").alias(c) for c in ("b", "o", "n")]), allowMissingColumns=True))
-    right = counts.join(spellings(counts, rare), "token", "left").withColumn("right", F.coalesce("right", "token"))
+    right = counts.join(spellings(counts), "token", "left").withColumn("right", F.coalesce("right", "token"))
     sums = right.groupBy("right").agg(*[F.sum(c).alias(c) for c in ("n", "b", "o")], F.min("k0").alias("k0"), F.max("k1").alias("k1"))
     owns = (F.col("o") * 2 >= F.col("n")) & (F.col("n") > 0)
     often = (F.col("b") * 2 >= F.col("n")) & F.coalesce(F.col("k0") != F.col("k1"), F.lit(False))
-    mostly = (F.col("b") * 3 >= F.col("n") * 2) & (F.col("n") > 2 * rare)
-    code = F.floor(F.col("b") * 1023 / F.greatest("n", F.lit(1))) * F.lit(2**52) + F.least("n", F.lit(4095)) * F.lit(2**40) + F.pmod(F.xxhash64("right"), F.lit(2**40))
-    roles = sums.select("right", F.col("n").alias("total"), (owns | often | mostly).alias("is_brand"), owns.alias("is_firm"), code.cast("long").alias("code"))
+    # Lower bound of the share among brand names, 2.5 standard deviations away: few listings prove nothing.
+    n, z2 = F.greatest("n", F.lit(1)), 6.25
+    share = F.col("b") / n
+    bound = (share + z2 / (2 * n) - F.sqrt(z2 * (share * (1 - share) / n + z2 / (4 * n * n)))) / (1 + z2 / n)
+    mostly = bound >= 0.6
+    roles = sums.select("right", F.col("n").alias("total"), (owns | often | mostly).alias("is_brand"), owns.alias("is_firm"), share.alias("_share"))
+    roles = _numbered(roles, ["_share", "total", "right"]).drop("_share")
     return said, cut(right.select("token", "right").join(roles, "right").withColumnRenamed("total", "n"))
 
 
@@ -153,50 +172,50 @@ def _agreed(c: str, key: list[str]) -> Column:
     return F.when(F.min(c).over(w) == F.max(c).over(w), F.min(c).over(w))
 
 
-def _take_lines(p: DataFrame, lacking: int, most: int = 50_000) -> DataFrame:
+def _take_lines(p: DataFrame, lacking: int, most_sent: int = 50_000) -> DataFrame:
     """Profiles without a line take that of the profiles of their brand that agree in all else, or in all but the content, if
-    those have a single one; an unknown attribute of a block meets nothing, not even another unknown one. Up to `most` profiles
-    lacking one, their blocks are sent to the others; beyond, all meet by block."""
+    those have a single one; an unknown attribute of a block meets nothing, not even another unknown one. Blocks are
+    aggregated before they meet; those of up to `most_sent` profiles are sent to the others, more meet by block."""
     wide = LINE_BLOCKS[1]
-    if lacking > most:
-        stated = lambda key: F.forall(F.array(*[F.col(c).isNotNull() for c in key]), lambda x: x)
-        h = p.filter(stated(wide)).repartition(*wide).withColumns({f"_v{i}": F.when(stated(k), _agreed("line", k)) for i, k in enumerate(LINE_BLOCKS)})
-        return h.withColumn("line", F.coalesce("line", "_v0", "_v1")).drop("_v0", "_v1").unionByName(p.filter(~stated(wide)))
     has, need = p.filter("line is not null"), p.filter("line is null")
-    known = has.join(F.broadcast(need.select(*wide).distinct()), wide, "left_semi").groupBy(*LINE_BLOCKS[0]).agg(F.min("line").alias("_a"), F.max("line").alias("_z"))
+    asked = need.select(*wide).distinct()
+    known = has.join(F.broadcast(asked) if lacking <= most_sent else asked, wide, "left_semi").groupBy(*LINE_BLOCKS[0]).agg(F.min("line").alias("_a"), F.max("line").alias("_z"))
     whole = known.groupBy(*wide).agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))
     for i, (k, key) in enumerate(zip((known, whole), LINE_BLOCKS)):
         need = need.join(k.filter("_a = _z").select(*key, F.col("_a").alias(f"_v{i}")), key, "left")
     return has.unionByName(need.withColumn("line", F.coalesce("_v0", "_v1")).drop("_v0", "_v1").select(*p.columns))
 
 
-def resolve(profiles: DataFrame, rounds: int = 6) -> DataFrame:
-    """`profiles` (profile, ATTRIBUTES) with the attributes after merging, until no profile changes (at most `rounds`), and
-    `sized`: whether some profile of the same line, kind, flavour and variant states a net content.
+def resolve(profiles: DataFrame, limit: int = 50) -> DataFrame:
+    """`profiles` (profile, ATTRIBUTES) with the attributes after merging, until no profile changes, and `sized`: whether some
+    profile of the same line, kind, flavour and variant states a net content. Each round fills an attribute or is the last;
+    more than `limit` rounds raise.
 
     In a round profiles without a line look for it; then the profiles of a line meet, by one exchange, and hand each other
-    content, brand, kind and flavour by BLOCKS."""
+    content, brand, kind and flavour by BLOCKS. A line's listings are profiles by now, as many as its kinds, flavours, variants
+    and contents have combinations, however many listings it has."""
     p = cut(profiles.select("profile", *ATTRIBUTES, F.lit(True).alias("sized")))
     unknown = lambda d: d.agg(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in ATTRIBUTES]).first()
     last, before = unknown(p), None
-    for _ in range(rounds):
+    for _ in range(limit):
         # Lines can only be found anew where the profiles that know one have changed.
+        taken = p
         if last["line"] and (before is None or any(before[c] != last[c] for c in ("brand", "kind", "flavour", "content"))):
-            p = _take_lines(p, last["line"])
-        q = p.filter("line is not null").repartition("line")
+            taken = _take_lines(p, last["line"])
+        q = taken.filter("line is not null").repartition("line")
         q = q.withColumn("sized", F.max(F.col("content").isNotNull()).over(W.partitionBy(*BLOCKS[0][1])))
         for c, key in BLOCKS:
             if last[c]:
                 q = q.withColumn("_v", _agreed(c, key)).withColumn(c, F.coalesce(c, "_v")).drop("_v")
-        p = cut(q.unionByName(p.filter("line is null")))
+        p = cut(q.unionByName(taken.filter("line is null")), p)
         now = unknown(p)
         changed = {c: now[c] != last[c] for c in ATTRIBUTES}
         before, last = last, now
-        # Another round is made only if what changed is read by a block whose attribute is still unknown somewhere.
+        # Nothing can change any more unless what changed is read by a block whose attribute is still unknown somewhere.
         more = (now["line"] and any(changed[c] for c in ("brand", "kind", "flavour", "content"))) or (now["brand"] and changed["kind"]) or (now["content"] and (changed["kind"] or changed["flavour"]))
         if not more:
-            break
-    return p
+            return p
+    raise RuntimeError(f"profiles still change after {limit} rounds")
 
 
 def named(said: DataFrame, roles: DataFrame) -> DataFrame:
