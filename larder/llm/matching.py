@@ -35,8 +35,8 @@ _ROWS = "record_id long, copy long, said string, kind int, flavour long, variant
 def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int = 15_000, line_rows: int = 40_000, notice_rows: int = 5_000) -> listing.Vocabulary:
     """Vocabulary of a catalogue, fitted on a bounded sample of whole rows in the order of hashes: `spread_rows` listings and
     `notice_rows` notices tell the common words, `line_rows` listings of whole product lines tell what they mean. A line is known
-    by the one word of a name that is neither common nor in the listing's firm and brand names; at most 40 listings of each
-    are taken, copies once."""
+    by the one word of a name that is neither common nor in the listing's firm and brand names; lines are those of firms drawn
+    by the hash of the firm's first word, and at most 40 listings of each are taken, copies once."""
     columns = ["product_name", "brand_name", "brand_owner"]
     named = df.filter("product_name is not null")
     total = named.count()
@@ -47,12 +47,14 @@ def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int
         notices = notices.select("product_description", "recalling_firm").filter("product_description is not null")
         said = [tuple(r) for r in first(notices, F.xxhash64(*notices.columns), notice_rows, notices.count()).collect()]
     common, house = listing.common_words(spread, said)
-    words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([\p{L}]+)"), F.lit(1))
+    # Words are told apart only for the listings of the firms drawn, a small share of a large catalogue.
+    firm = F.substring_index(F.ltrim(F.lower(F.coalesce("brand_owner", "brand_name", F.lit("")))), " ", 1)
+    drawn = named.filter(F.pmod(F.xxhash64(firm), F.lit(1 << 30)) < int(min(1.0, 2.0 * line_rows / max(total, 1)) * (1 << 30)))
+    words = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+")
     known = F.array(*[F.lit(w) for w in sorted(common)]) if common else F.array().cast("array<string>")
     names = F.array_except(F.array_except(F.filter(words(F.col("product_name")), lambda w: F.length(w) > 2), known), words(F.concat_ws(" ", "brand_name", "brand_owner")))
-    keyed = named.select(*columns, "ingredients", F.when(F.size(names) == 1, names[0]).alias("line")).filter("line is not null")
-    of_line = F.pmod(F.xxhash64("line"), F.lit(1 << 30))
-    keyed = keyed.filter(of_line < int(min(1.0, 1.3 * line_rows / max(total, 1)) * (1 << 30))).dropDuplicates([*columns, "line"])
+    keyed = drawn.select(*columns, "ingredients", F.when(F.size(names) == 1, names[0]).alias("line")).filter("line is not null")
+    keyed = keyed.dropDuplicates([*columns, "line"])
     few = keyed.withColumn("_i", F.row_number().over(W.partitionBy("line").orderBy(F.xxhash64(*columns)))).filter("_i <= 40")
     rows = few.orderBy(F.xxhash64("line"), "line", "_i").limit(line_rows).select(*columns, "ingredients").collect()
     return listing.learn([tuple(r) for r in rows], common, house)
