@@ -157,24 +157,64 @@ def b_strip_punctuation(spark, d):
     return cleaning.strip_punctuation(read(spark, d, "nutrition_sample").select("record_id", "product_name"), ["product_name"])
 
 
-_QTY = f"(?i)([0-9]+\\.?[0-9]*)\\s*({'|'.join(cleaning.QUANTITY_UNITS)})\\b"
+_QTY = "(?i)([0-9]+\\.?[0-9]*)\\s*(oz|g|mg|kg|lb|lbs|ml|l|fl\\s*oz|gal|ct|count|pk|pack)\\b"
 
 
 @query(
-    f"""with t as (select record_id, product_name, regexp_extract_all(product_name, '{_QTY}', 1) a, regexp_extract_all(product_name, '{_QTY}', 2) b, regexp_replace(regexp_replace(regexp_replace(product_name, '{_QTY}', '', 'g'), '\\s+', ' ', 'g'), '^[,\\s]+|[,\\s]+$', '', 'g') r from nutrition_sample)
-    select record_id, case when r = '' then product_name else r end as product_name, case when len(a) > 0 then array_to_string(list_transform(generate_series(1, len(a)), lambda i: a[i] || ' ' || lower(b[i])), '; ') end as sizes from t"""
+    f"""with t as (select record_id, product_name, regexp_extract_all(product_name, '{_QTY}', 1) a, regexp_extract_all(product_name, '{_QTY}', 2) b,
+      regexp_replace(regexp_replace(regexp_replace(product_name, '{_QTY}', '', 'g'), '\\s+', ' ', 'g'), '^[, ]+|[, ]+$', '', 'g') r from nutrition_sample)
+    select record_id, case when len(a) > 0 and r <> '' then r else product_name end as product_name,
+      case when len(a) > 0 then array_to_string(list_transform(generate_series(1, len(a)), lambda i: a[i] || b[i]), '; ') end as sizes from t"""
 )
 def b_extract_quantity(spark, d):
     return cleaning.extract_quantity(read(spark, d, "nutrition_sample").select("record_id", "product_name"))
 
 
+# The values that results must equal, in the SQL's own words.
+_SQL_ALLERGENS = {
+    "egg": "eggs?|albumin|lysozyme|mayonnaise", "fish": "fish|cod|salmon|tuna|anchovies?|bass|tilapia", "milk": "milk|dairy|lactose|casein|whey|cream|butter", "peanut": "peanuts?",
+    "sesame": "sesame|tahini", "shellfish": "shellfish|shrimps?|crabs?|lobsters?|crawfish|prawns?", "soybean": "soy|soybeans?|soya|tofu|edamame|lecithin",
+    "tree nut": "almonds?|cashews?|walnuts?|pecans?|pistachios?|macadamia|hazelnuts?|brazil\\s*nuts?", "wheat": "wheat|flour|gluten|semolina|durum|spelt",
+}
+_SAYS = "case when lower({0}) not in ('', 'nan', 'none', '<na>') then {0} end"
+
+
 def _labels(column: str, table: dict[str, str]) -> str:
     return "concat_ws(', ', " + ", ".join(f"case when regexp_matches({column}, '(?i)\\b(?:{p})\\b') then '{a}' end" for a, p in sorted(table.items())) + ")"
 
 
-@query(f"select record_id, case when {_STRIP.format('ingredients')} <> '' then {_labels('ingredients', cleaning.ALLERGENS)} end as allergens from nutrition_sample")
+@query(
+    f"""with t as (select record_id, coalesce({_SAYS.format('ingredients')}, {_SAYS.format('food_category')}) c from nutrition_sample)
+    select record_id, case when {_STRIP.format('c')} <> '' then {_labels('c', _SQL_ALLERGENS)} end as allergens from t"""
+)
 def b_extract_allergens(spark, d):
-    return cleaning.extract_allergens(read(spark, d, "nutrition_sample").select("record_id", "ingredients")).select("record_id", "allergens")
+    """Allergens of the ingredients; rows without any are read in a second text, as recall reasons are."""
+    df = read(spark, d, "nutrition_sample").select("record_id", "ingredients", F.col("food_category").alias("recall_reason"))
+    return cleaning.extract_allergens(df).select("record_id", "allergens")
+
+
+@query(
+    """with t as (select doc_id, list_filter(regexp_extract_all(text, '\\b([A-Z][0-9]{2}(?:\\.[0-9A-Z]{1,4})?)\\b', 1), lambda x: x <> '') a from documents)
+    select doc_id, array_to_string(list_sort(list_distinct(a)), ', ') as codes from t where len(a) > 0"""
+)
+def b_disease_codes(spark, d):
+    """Documents with texts that look like disease codes, the codes in alphabetical order."""
+    df = cleaning.extract_codes(read(spark, d, "documents").select("doc_id", "text"), "text", "codes").filter("codes is not null")
+    return df.select("doc_id", F.array_join(F.array_sort(F.split("codes", ", ")), ", ").alias("codes"))
+
+
+@query(
+    "with t as (select doc_id, concat_ws(', ', "
+    + ", ".join(f"case when regexp_matches(coalesce(text, '') || case when doc_id % 3 = 0 then ' took Metformin and ASPIRIN' else '' end, '(?i)\\b{w}\\b') then '{w}' end" for w in (
+        "metformin lisinopril atorvastatin omeprazole amlodipine levothyroxine albuterol gabapentin losartan metoprolol "
+        "aspirin warfarin furosemide prednisone insulin sertraline escitalopram azithromycin ciprofloxacin ibuprofen").split())
+    + ") m from documents) select doc_id, nullif(m, '') as medications from t"
+)
+def b_medications(spark, d):
+    """Medications named in texts, to a third of which a sentence with two is added."""
+    added = F.when(F.col("doc_id") % 3 == 0, " took Metformin and ASPIRIN").otherwise("")
+    df = read(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), added).alias("text"))
+    return cleaning.extract_words(df, "text", "medications").select("doc_id", "medications")
 
 
 @query("select record_id, case when trim(brand_owner) <> '' then regexp_extract(regexp_replace(brand_owner, '^\\s+|\\s+$', '', 'g'), '([^\\s]+)$', 1) end as last_word from nutrition_sample")

@@ -9,9 +9,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Texts that stand for a missing value in delimited files.
+# Texts that stand for a missing value in delimited files, beside an empty cell.
 NA_TEXTS = (
-    "", "na", "NA", "N/A", "n/a", "none", "None", "NONE", "null", "NULL", "nan", "NaN", "-", "--", "---", "not available", "Not Available", "unknown", "Unknown", "UNKNOWN", "#N/A", "#N/A N/A", "<NA>", "-nan", "-NaN", "1.#IND", "1.#QNAN", "-1.#IND", "-1.#QNAN",
+    "na", "Na", "NA", "n/a", "N/A", "n.a.", "N.A.", "none", "None", "NONE", "null", "Null", "NULL", "nan", "NaN", "NAN", "-", "--",
+    "not available", "not applicable", "unknown", "Unknown", "UNKNOWN", "",
 )
 
 

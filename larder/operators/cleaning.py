@@ -16,8 +16,17 @@ from larder.functions import text as tx
 
 # Legal forms of firms.
 LEGAL = ("inc", "llc", "ltd", "corp", "co", "company", "corporation", "incorporated", "limited")
-# Units of a quantity in a product name.
-QUANTITY_UNITS = ("fl oz", "oz", "mg", "kg", "g", "ml", "lb", "lbs", "l", "ct", "count", "pack")
+# Units of a quantity in a product name, as patterns.
+QUANTITY_UNITS = ("oz", "g", "mg", "kg", "lb", "lbs", "ml", "l", r"fl\s*oz", "gal", "ct", "count", "pk", "pack")
+# Texts of a cell that say nothing, so that the next column is read for allergens.
+SILENT_TEXTS = ("", "nan", "none", "<na>")
+# Names of medications.
+MEDICATIONS = (
+    "metformin", "lisinopril", "atorvastatin", "omeprazole", "amlodipine", "levothyroxine", "albuterol", "gabapentin", "losartan", "metoprolol",
+    "aspirin", "warfarin", "furosemide", "prednisone", "insulin", "sertraline", "escitalopram", "azithromycin", "ciprofloxacin", "ibuprofen",
+)
+# A disease code.
+DISEASE_CODE = r"\b([A-Z][0-9]{2}(?:\.[0-9A-Z]{1,4})?)\b"
 # Allergens with the words that show them.
 ALLERGENS = {
     "milk": r"milk|dairy|lactose|casein|whey|cream|butter",
@@ -82,35 +91,45 @@ def keep_quantity_in_name(df: DataFrame) -> DataFrame:
 
 
 def extract_quantity(df: DataFrame, column: str = "product_name", into: str = "sizes") -> DataFrame:
-    """All quantities of the name as "value unit" joined by "; " in `into` (null if none), and taken out of the name."""
+    """All quantities of the name as value and unit, as written, joined by "; " in `into` (null if none), and taken out of the
+    name; a name of nothing else stays as it is."""
     if column not in df.columns:
         return df
-    p = rf"(?i)([0-9]+\.?[0-9]*)\s*({'|'.join(QUANTITY_UNITS)})\b"
+    p = rf"(?iU)([0-9]+\.?[0-9]*)\s*({'|'.join(QUANTITY_UNITS)})\b"
     c = F.col(column)
-    found = F.zip_with(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.regexp_extract_all(c, F.lit(p), F.lit(2)), lambda a, b: F.concat_ws(" ", a, F.lower(b)))
-    rest = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, p, ""), r"\s+", " "), r"^[,\s]+|[,\s]+$", "")
-    df = df.withColumn("_found", found).withColumn(into, F.when(F.size("_found") > 0, F.array_join("_found", "; "))).drop("_found")
-    return _unless_empty(df, [column], rest)
+    found = F.zip_with(F.regexp_extract_all(c, F.lit(p), F.lit(1)), F.regexp_extract_all(c, F.lit(p), F.lit(2)), lambda value, unit: F.concat(value, unit))
+    # Values and names have projections of their own, so that a chain of blocks does not repeat their expressions.
+    rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, p, ""), r"(?U)\s+", " "), r"^[, ]+|[, ]+$", "")
+    df = df.withColumns({"_found": found, "_rest": rest})
+    any_found = F.size("_found") > 0
+    return df.withColumns({into: F.when(any_found, F.array_join("_found", "; ")), column: F.when(any_found & (F.col("_rest") != ""), F.col("_rest")).otherwise(c)}).drop("_found", "_rest")
 
 
 def extract_allergens(df: DataFrame, columns: Sequence[str] = ("ingredients", "recall_reason"), into: str = "allergens") -> DataFrame:
-    """Labels found in the first of the columns that there is, in order, joined by ", "; a text without any gives "", no text null."""
-    there = [c for c in columns if c in df.columns]
+    """Labels found in the first of the columns that says something in the row, in order, joined by ", "; a text without any gives
+    "", a blank one or none null. Without any of the columns `into` is null."""
+    there = [F.col(c) for c in columns if c in df.columns]
     if not there:
-        return df
-    c = F.col(there[0])
+        return df.withColumn(into, F.lit(None).cast("string"))
+    df = df.withColumn("_text", F.coalesce(*[F.when(~F.lower(c).isin(*SILENT_TEXTS), c) for c in there]))
+    c = F.col("_text")
     hits = F.array_compact(F.array(*[F.when(c.rlike(rf"(?i)\b(?:{p})\b"), F.lit(a)) for a, p in sorted(ALLERGENS.items())]))
-    return df.withColumn(into, F.when(tx.strip(c) != "", F.array_join(hits, ", ")))
+    return df.withColumn(into, F.when(tx.strip(c) != "", F.array_join(hits, ", "))).drop("_text")
 
 
-def extract_codes(df: DataFrame, column: str, into: str, pattern: str = r"\b([A-TV-Z][0-9][0-9AB](?:\.[0-9A-TV-Z]{1,4})?)\b") -> DataFrame:
-    """Distinct matches of a code pattern in order, joined by ", " (null if none); the default is a disease code."""
+def extract_codes(df: DataFrame, column: str, into: str, pattern: str = DISEASE_CODE) -> DataFrame:
+    """Distinct matches of a code pattern in order, joined by ", " (null if none, or without the column); the default is a
+    disease code."""
+    if column not in df.columns:
+        return df.withColumn(into, F.lit(None).cast("string"))
     codes = F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(pattern), F.lit(1)))
     return df.withColumn(into, F.when(F.size(codes) > 0, F.array_join(codes, ", ")))
 
 
-def extract_words(df: DataFrame, column: str, into: str, words: Sequence[str]) -> DataFrame:
-    """Those of `words` that stand in the text, in the list's order, joined by ", " (null if none)."""
+def extract_words(df: DataFrame, column: str, into: str, words: Sequence[str] = MEDICATIONS) -> DataFrame:
+    """Those of `words` that stand in the text, in the list's order, joined by ", " (null if none, or without the column)."""
+    if column not in df.columns:
+        return df.withColumn(into, F.lit(None).cast("string"))
     hits = F.array_compact(F.array(*[F.when(F.col(column).rlike(rf"(?i)\b{re.escape(w)}\b"), F.lit(w)) for w in words]))
     return df.withColumn(into, F.when(F.size(hits) > 0, F.array_join(hits, ", ")))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,27 @@ def pair_score(n1: pd.Series, b1: pd.Series, n2: pd.Series, b2: pd.Series) -> pd
 
 
 def exact_classes(df: DataFrame, row_id: str, keys: Sequence[str]) -> DataFrame:
-    """`df` with `rep`, the least row id of the rows with equal keys (nulls equal): copies are compared once."""
-    return df.withColumn("rep", F.min(row_id).over(W.partitionBy(*keys)))
+    """`df` with `rep`, the least row id of the rows with equal keys (nulls equal): copies are compared once. The least ids are
+    aggregated and joined, so a group of copies of any size is never gathered in one task."""
+    least = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min(row_id).alias("rep"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return df.join(least, reduce(lambda x, y: x & y, same)).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+#: Classes of characters that are counted to bound a score.
+_CLASSES = ("a", "b", "c", "d", "e", "fg", "h", "i", "jk", "l", "m", "n", "o", "p", "qr", "s", "t", "u", "vw", "xyz", "0123456789", " ")
+
+
+def letter_counts(text: Column) -> Column:
+    """Characters of each class in a text, the rest as a last class."""
+    counts = [F.length(text) - F.length(F.translate(text, c, "")) for c in _CLASSES]
+    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
+
+
+def ratio_bound(counts_a: Column, counts_b: Column, length_a: Column, length_b: Column) -> Column:
+    """Upper bound of the ratio of two texts: no more characters can be common than both have of a class."""
+    common = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    return F.when(length_a + length_b == 0, 1.0).otherwise(2 * common / F.nullif(length_a + length_b, F.lit(0)))
 
 
 def fuzzy_links(df: DataFrame, row_id: str, name: str = "product_name", brand: str = "brand_name", threshold: float = THRESHOLD, slices: int = 16) -> DataFrame:
@@ -52,31 +72,36 @@ def fuzzy_links(df: DataFrame, row_id: str, name: str = "product_name", brand: s
 
     Texts are lower-cased; equal texts are one from the start. A block's texts are dealt to `slices` slices and slice pairs
     are joined one by one, so a block with a third of all texts spreads over slices * (slices + 1) / 2 tasks. A pair whose
-    lengths or letters alone rule out the threshold is dropped before the score is computed."""
+    lengths or letters alone rule out the threshold is dropped in the join, before the score is computed."""
     reps = df.select(F.col(row_id).alias("id"), F.lower(F.coalesce(name, F.lit(""))).alias("n"), F.lower(F.coalesce(brand, F.lit(""))).alias("b")).groupBy("n", "b").agg(F.min("id").alias("id"))
     reps = reps.withColumn("key", blocking_key(F.col("n"), F.col("b"))).filter("key is not null").withColumn("slice", F.pmod(F.xxhash64("n", "b"), F.lit(slices)).cast("int"))
+    # Words are compared in order, joined by single spaces, so only those count as spaces.
+    single = tx.squeeze(F.col("n"))
+    reps = reps.withColumns({"ln": F.length(single), "lb": F.length("b"), "cn": letter_counts(single), "cb": letter_counts(F.col("b"))})
+    reps = reps.withColumns({"cw": letter_counts(tx.squeeze(F.concat_ws(" ", "n", "b"))), "lw": F.length(tx.squeeze(F.concat_ws(" ", "n", "b")))})
     left = reps.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumns({"lo": F.least("slice", "other"), "hi": F.greatest("slice", "other")})
     a = left.alias("x")
     b = left.alias("y")
     # Slice pair (lo, hi): texts of lo on one side, of hi on the other; within one slice only the lower id first.
     on = (F.col("x.key") == F.col("y.key")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi")) & (F.col("x.slice") == F.col("x.lo")) & (F.col("y.slice") == F.col("y.hi"))
     pairs = a.join(b, on).filter((F.col("x.lo") != F.col("x.hi")) | (F.col("x.id") < F.col("y.id")))
-    la, lb = F.length("x.n"), F.length("y.n")
     wn, wb, wc = PAIR_WEIGHTS
-    both_a, both_b = la + F.length("x.b") + 1, lb + F.length("y.b") + 1
-    bound = lambda p, q: F.when(p + q == 0, 1.0).otherwise(2 * F.least(p, q) / F.nullif(p + q, F.lit(0)))
-    most = wn * bound(la, lb) + wb * bound(F.length("x.b"), F.length("y.b")) + wc * bound(both_a, both_b)
-    pairs = pairs.filter(most >= threshold).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), pair_score("x.n", "x.b", "y.n", "y.b").alias("score"))
+    by_length = lambda p: F.when(F.col(f"x.{p}") + F.col(f"y.{p}") == 0, 1.0).otherwise(2 * F.least(f"x.{p}", f"y.{p}") / F.nullif(F.col(f"x.{p}") + F.col(f"y.{p}"), F.lit(0)))
+    by_letters = lambda c, p: ratio_bound(F.col(f"x.{c}"), F.col(f"y.{c}"), F.col(f"x.{p}"), F.col(f"y.{p}"))
+    pairs = pairs.filter(wn * by_length("ln") + wb * by_length("lb") + wc * by_length("lw") >= threshold)
+    most = wn * by_letters("cn", "ln") + wb * by_letters("cb", "lb") + wc * by_letters("cw", "lw")
+    pairs = pairs.filter(most >= threshold - 1e-9).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), pair_score("x.n", "x.b", "y.n", "y.b").alias("score"))
     return pairs.filter(F.col("score") >= threshold)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", limit: int = 100) -> DataFrame:
     """(node, component) of an undirected graph, the component being its least node. Alternating large-star and small-star
-    steps, which take logarithmically many rounds and never gather a component in one task's memory."""
+    steps until nothing changes, which take logarithmically many rounds and never gather a component in one task's memory;
+    more than `limit` rounds raise."""
     e = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     nodes = e
     last = None
-    for _ in range(rounds):
+    for _ in range(limit):
         # Large star: every larger neighbour is joined to the least neighbour (or itself).
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -84,11 +109,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         # Small star: every smaller neighbour, and the node itself, is joined to the least.
         low1 = e1.groupBy("u").agg(F.min("v").alias("m"))
         e2 = e1.join(low1, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").union(low1.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(e2)
+        e = cut(e2, *([e] if e is not nodes else []))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
+    else:
+        raise RuntimeError(f"components still change after {limit} rounds")
     found = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     all_nodes = nodes.select(F.col("u").alias("node")).union(nodes.select("v")).distinct()
     return all_nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -102,7 +129,10 @@ def duplicate_groups(df: DataFrame, row_id: str, name: str = "product_name", bra
     low = [F.lower(F.coalesce(name, F.lit(""))).alias("_n"), F.lower(F.coalesce(brand, F.lit(""))).alias("_b")]
     keyed = df.select("*", *low)
     blocked = blocking_key(F.col("_n"), F.col("_b")).isNotNull()
-    keyed = keyed.withColumn("_rep", F.when(blocked, F.min(row_id).over(W.partitionBy("_n", "_b"))).otherwise(F.col(row_id))).drop("_n", "_b")
+    least = keyed.filter(blocked).groupBy("_n", "_b").agg(F.min(row_id).alias("_rep"))
+    # Rows without a block meet nothing, so that a third of all rows with blank names is no hot key.
+    apart = keyed.withColumn("_n", F.when(blocked, F.col("_n"))).join(least, ["_n", "_b"], "left")
+    keyed = apart.withColumn("_rep", F.coalesce("_rep", F.col(row_id))).drop("_n", "_b")
     comp = connected_components(fuzzy_links(df, row_id, name, brand, threshold))
     out = keyed.join(comp.select(F.col("node").alias("_rep"), "component"), "_rep", "left").withColumn("duplicate_group_id", F.coalesce("component", "_rep")).drop("component", "_rep")
     return out.withColumn("canonical", F.col(row_id) == F.col("duplicate_group_id"))

@@ -12,6 +12,7 @@ import json
 import re
 import warnings
 from collections.abc import Callable
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -46,8 +47,39 @@ def _dtype(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 
 
+class _Presence:
+    """Which columns of a program's input hold any value: one aggregation for all columns that the program may ask about."""
+
+    def __init__(self, df: DataFrame, ops: list[Op]):
+        asked = {str(op.get(k)) for op in ops for k in ("target", "source")}
+        self.df, self.columns, self.held = df, [c for c in df.columns if c in asked], None
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.columns
+
+    def __getitem__(self, name: str) -> bool:
+        if self.held is None:
+            there = [c for c in self.columns if c is not None]
+            row = self.df.agg(*[F.bool_or(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(there)]).first()
+            self.held = dict(zip(there, row))
+        return bool(self.held[name])
+
+    def changed(self, op: Op, df: DataFrame) -> None:
+        """Forget the columns that an operation may have written or dropped."""
+        written = {op.get("source"), op.get("target"), *(op.get("target_columns") or ()), *(op.get("column_names") or ())}
+        for c in [c for c in self.columns if c in written or c not in df.columns]:
+            self.columns[self.columns.index(c)] = None
+
+
+_PRESENCE: ContextVar[_Presence | None] = ContextVar("presence", default=None)
+
+
 def _has_data(df: DataFrame, name: str) -> bool:
-    return name in df.columns and df.filter(F.col(name).isNotNull()).limit(1).count() > 0
+    """Whether a column is there with any value. Within a program, columns that it has not written are answered together."""
+    if name not in df.columns:
+        return False
+    known = _PRESENCE.get()
+    return known[name] if known is not None and name in known else df.filter(F.col(name).isNotNull()).limit(1).count() > 0
 
 
 def _put(df: DataFrame, op: Op, value: Column, keep: bool = False) -> DataFrame:
@@ -353,15 +385,22 @@ def apply(df: DataFrame, program: dict, on_error: str = "raise") -> DataFrame:
     gate = program.get("apply_if_column_present")
     if gate and gate not in df.columns:
         return df
-    for op in program.get("column_operations") or []:
-        try:
-            if op.get("action") not in ACTIONS:
-                raise ValueError(f"unknown action {op.get('action')!r}")
-            df = ACTIONS[op["action"]][0](df, op)
-        except Exception as e:
-            if on_error != "skip":
-                raise
-            warnings.warn(f"skipped {op.get('action')}: {e}", stacklevel=2)
+    ops = program.get("column_operations") or []
+    known = _Presence(df, ops)
+    token = _PRESENCE.set(known)
+    try:
+        for op in ops:
+            try:
+                if op.get("action") not in ACTIONS:
+                    raise ValueError(f"unknown action {op.get('action')!r}")
+                df = ACTIONS[op["action"]][0](df, op)
+                known.changed(op, df)
+            except Exception as e:
+                if on_error != "skip":
+                    raise
+                warnings.warn(f"skipped {op.get('action')}: {e}", stacklevel=2)
+    finally:
+        _PRESENCE.reset(token)
     return df
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import pathlib
 import tempfile
@@ -50,36 +51,65 @@ def ship(spark: SparkSession) -> None:
 _shipped: set[str] = set()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether all tasks run on the driver's machine, so that a folder of that machine can be seen by all of them."""
+    return spark.sparkContext.master.startswith("local")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoint(): the cluster's spark.checkpoint.dir if it is set, else (tests, one machine) a new temporary one."""
+    """Folder for checkpoint() and `cut`: the cluster's spark.checkpoint.dir. Only where it is unset on one machine (tests) a new
+    temporary one is made; a cluster without the setting raises, as its machines would each write to a disk of their own."""
     sc = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not shared and not is_local(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="larder-ckpt-"))
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     """Cut the lineage: write `df` as a Parquet table to the shared checkpoint folder and read it back.
 
-    The table survives the loss of executors, is compressed and can be pruned by column. Tables of a session are removed when
-    the driver ends."""
+    The table survives the loss of executors, is compressed and can be pruned by column. `done` are tables made by `cut` that
+    nothing reads any more, such as those of the round before; they are deleted at once, all others when the driver ends."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/larder-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    for old in done:
+        drop_cut(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._larder_path = path
+    return out
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Delete the table of a frame that `cut` gave; other frames are left alone."""
+    path = getattr(df, "_larder_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _written.remove((df.sparkSession, path))
+        df._larder_path = None
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, deleted when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/larder-{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
 
 
 _written: list[tuple[SparkSession, str]] = []
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session is gone; the folder's owner cleans up
-            return
+        with contextlib.suppress(Exception):  # a session that is gone leaves its tables to the folder's owner
+            _delete(spark, path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import re
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,21 +42,22 @@ def head_text(spark: SparkSession, path: str, size: int = 8192) -> str:
 
 
 def sniff_delimiter(text: str) -> str:
-    """The delimiter among comma, tab, bar and semicolon that cuts the first lines most evenly; else tab or comma by count."""
+    """The delimiter among comma, tab and bar that cuts the first lines most evenly; else tab or comma by count."""
     lines = [line for line in text.splitlines()[:20] if line.strip()]
     best, width = None, 0
-    for d in (",", "\t", "|", ";"):
+    for d in (",", "\t", "|"):
         n = [line.count(d) for line in lines]
         if n and min(n) > 0 and len(set(n)) == 1 and n[0] > width:
             best, width = d, n[0]
     return best or ("\t" if text.count("\t") > text.count(",") else ",")
 
 
-def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", na_texts: Sequence[str] = NA_TEXTS, infer: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", na_texts: Sequence[str] = NA_TEXTS, infer: bool = False, multi_line: bool = False) -> DataFrame:
     """Delimited text with a header; malformed lines are dropped and texts that stand for a missing value are null. Columns are
-    strings; with `infer` those whose values are all numbers become bigint or double."""
+    strings; with `infer` those whose values are all numbers become bigint or double. `multi_line` is for values with line
+    breaks; such a file is read by one task, others are split."""
     sep = delimiter or sniff_delimiter(head_text(spark, path))
-    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, mode="DROPMALFORMED", multiLine=True, escape='"')
+    df = spark.read.csv(path, header=True, sep=sep, encoding=encoding, mode="DROPMALFORMED", multiLine=multi_line, escape='"')
     df = df.select(*[null_texts(F.col(f"`{c}`"), tuple(na_texts)).alias(c) for c in df.columns])
     return infer_types(df) if infer else df
 
@@ -111,8 +113,9 @@ def partitions(paths: Sequence[str]) -> dict[str, list[str]]:
     return {s: sorted(d) for s, d in sorted(out.items())}
 
 
-def read_silver(spark: SparkSession, root: str, source: str, date: str | None = None, required: Sequence[str] = ("product_name",), pattern: str = "part_*.parquet") -> DataFrame:
-    """Parquet of a source and date; without files of that date its latest one is taken. Absent required columns raise."""
+def read_silver(spark: SparkSession, root: str, source: str, date: str | None = None, required: Sequence[str] = ("product_name",), expected: Sequence[str] = (), pattern: str = "part[_-]*.parquet") -> DataFrame:
+    """Parquet of a source and date, as `write_silver` or other writers name its files; without files of that date its latest one is
+    taken. Absent required columns raise, absent expected ones are warned of."""
     found = partitions(list_files(spark, f"{root}/{source}", pattern, recursive=True))
     dates = sorted({d for ds in found.values() for d in ds})
     if not dates:
@@ -121,6 +124,8 @@ def read_silver(spark: SparkSession, root: str, source: str, date: str | None =
     df = spark.read.option("mergeSchema", "true").option("pathGlobFilter", pattern).parquet(f"{root}/{source}/{day}")
     if lacking := [c for c in required if c not in df.columns]:
         raise ValueError(f"{source}/{day} lacks {', '.join(lacking)}")
+    if lacking := [c for c in expected if c not in df.columns]:
+        warnings.warn(f"{source}/{day} lacks {', '.join(lacking)}", stacklevel=2)
     return df
 
 
@@ -132,9 +137,9 @@ def read_gold(spark: SparkSession, path: str, sources: Sequence[str]) -> DataFra
     return df
 
 
-def read_run_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The last log of each run over all log files, timestamps parsed, in order of time."""
-    df = spark.read.option("recursiveFileLookup", "true").json(path, mode="DROPMALFORMED", multiLine=True).withColumn("_file", F.col("_metadata.file_path"))
+def read_run_logs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """The last log of each run over all log files, timestamps parsed, in order of time. A line is a log; with `multi_line` a file is."""
+    df = spark.read.option("recursiveFileLookup", "true").json(path, mode="DROPMALFORMED", multiLine=multi_line).withColumn("_file", F.col("_metadata.file_path"))
     return first_per_key(df, ["run_id"], [F.desc("_file")]).drop("_file").withColumn("timestamp", F.col("timestamp").try_cast("timestamp")).orderBy("timestamp")
 
 

@@ -74,7 +74,7 @@ def test_cleaning_edges(spark):
     assert [r.brand_name for r in cleaning.remove_noise_words(df).collect()] == ["Acme", "LLC", None]
     assert [r.product_name for r in cleaning.strip_whitespace(df).collect()] == ["a", None, None]
     q = cleaning.extract_quantity(spark.createDataFrame([("Oat 12 oz, 2 pack",), ("12 oz",), (None,)], "product_name string")).collect()
-    assert [(r.product_name, r.sizes) for r in q] == [("Oat", "12 oz; 2 pack"), ("12 oz", "12 oz"), (None, None)]
+    assert [(r.product_name, r.sizes) for r in q] == [("Oat", "12oz; 2pack"), ("12 oz", "12oz"), (None, None)]
     t = spark.createDataFrame([("Caf%C3%A9 &amp; tea",), ("plain",), (None,)], "t string")
     assert [(r.t, r.t_changed) for r in cleaning.repair_text(t, ["t"]).collect()] == [("Café & tea", True), ("plain", False), (None, False)]
 
