@@ -1,9 +1,10 @@
 """Schemas that drift between files: rescue-column ingestion and a report of every change.
 
 `ingest` enforces a target schema on raw JSON records. A field outside the target, or whose value does not fit its type,
-is kept as JSON in the rescue column, so nothing is lost; `promote` turns an approved rescued field into a typed column
-and `replay` fills a target column from the rescued values of other names. Each record also keeps the names and JSON types
-of its fields, from which `changes` reports what was added, removed, renamed or retyped between the batches of a feed.
+goes to the rescue column, so nothing is lost; `promote` turns an approved rescued field into a typed column and `replay`
+fills a target column from the rescued values of other names. What the typed columns and the rescue column hold tells
+the fields of every record (`fields_of`), from which `changes` reports what was added, removed, renamed or retyped
+between the batches of a feed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from larder.session import cut
 
-FIELDS, RESCUED = "_fields", "_rescued"
+#: Fields of a record; rescued fields as JSON; the same as a map, with fields that are null; JSON types of values that were cast.
+FIELDS, RESCUED, RESCUE, CAST = "_fields", "_rescued", "_rescue", "_cast"
 _FIELD_TYPE = "array<struct<field_name:string,kind:string,value:string>>"
 
 
@@ -35,25 +37,42 @@ def _entries(source: str) -> Column:
     ).cast(_FIELD_TYPE)
 
 
+def _json_type(sql_type: str) -> str:
+    """JSON type that a SQL type holds."""
+    return {"string": "string", "boolean": "boolean"}.get(sql_type, "number")
+
+
+def enforce(df: DataFrame, values: Column, target: dict[str, str]) -> DataFrame:
+    """`df` with the map `values` (name -> variant) put into typed columns, `_rescue` and `_cast`; see `ingest`."""
+    out = df.withColumn("_map", values)
+    out = out.withColumns({c: F.expr(f"try_variant_get(try_element_at(_map, '{c}'), '$', '{t}')") for c, t in target.items()})
+    fitted = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in target])) if target else F.array().cast("array<string>")
+    kinds = {c: F.expr(_kind(f"try_element_at(_map, '{c}')")) for c in target}
+    other = [F.when(F.col(c).isNotNull() & (kinds[c] != _json_type(t)), F.struct(F.lit(c).alias("key"), kinds[c].alias("value"))) for c, t in target.items()]
+    cast = F.map_from_entries(F.array_compact(F.array(*other))) if other else F.lit(None).cast("map<string,string>")
+    return out.withColumns({RESCUE: F.map_filter("_map", lambda k, v: ~F.array_contains(fitted, k)) if target else F.col("_map"), CAST: cast}).drop("_map")
+
+
 def ingest(df: DataFrame, json_col: str, target: dict[str, str]) -> DataFrame:
-    """`df` with one typed column for each field of `target` (name -> SQL type), `_rescued` (JSON of what has no place
-    there, null if nothing) and `_fields` (name, JSON type and text of every field of the record).
+    """`df` with one typed column for each field of `target` (name -> SQL type), `_rescued` (JSON of what has no place there, null if
+    nothing), `_rescue` (the same as a map, with the fields that are null) and `_cast` (JSON types of the values that were cast).
 
     A record that is null, cut or no object gives nulls, with its whole text under the key `_record` of `_rescued`. A text
     number is cast to a numeric target; a value that cannot be cast is rescued. Of a repeated key the first value counts.
     Columns of `df` named as a target column are replaced.
     """
-    m = df.withColumn("_map", F.expr(f"from_json({json_col}, 'map<string,variant>')"))
-    m = m.withColumn(FIELDS, _entries("_map"))
-    cast = {c: F.expr(f"try_variant_get(try_element_at(_map, '{c}'), '$', '{t}')") for c, t in target.items()}
-    out = m.withColumns(cast)
-    misfit = [F.when(F.col(c).isNull() & F.expr(f"exists({FIELDS}, f -> f.field_name = '{c}' and f.kind is not null)"), F.lit(c)) for c in target]
-    names = F.array(*[F.lit(c) for c in target])
-    rest = F.filter(FIELDS, lambda f: f["kind"].isNotNull() & (~F.array_contains(names, f["field_name"]) | F.array_contains(F.array_compact(F.array(*misfit)), f["field_name"])))
-    whole = F.when(F.col(json_col).isNotNull() & F.col("_map").isNull(), F.to_json(F.create_map(F.lit("_record"), F.col(json_col))))
-    quoted = F.transform(rest, lambda f: F.concat(F.to_json(F.struct(f["field_name"].alias("k"))).substr(F.lit(6), F.length(F.to_json(F.struct(f["field_name"].alias("k")))) - 6), F.lit(":"), F.when(f["kind"] == "string", F.to_json(F.struct(f["value"].alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(f["value"].alias("v")))) - 6)).otherwise(f["value"])))
-    kept = F.when(F.size(rest) > 0, F.concat(F.lit("{"), F.array_join(quoted, ","), F.lit("}")))
-    return out.withColumn(RESCUED, F.coalesce(whole, kept)).drop("_map")
+    out = enforce(df, F.expr(f"from_json({json_col}, 'map<string,variant>')"), target)
+    rest = F.map_filter(RESCUE, lambda k, v: ~F.is_variant_null(v))
+    whole = F.when(F.col(json_col).isNotNull() & F.col(RESCUE).isNull(), F.to_json(F.create_map(F.lit("_record"), F.col(json_col))))
+    return out.withColumn(RESCUED, F.coalesce(whole, F.when(F.size(rest) > 0, F.to_json(rest))))
+
+
+def fields_of(target: dict[str, str]) -> Column:
+    """`_fields` of an ingested record: name, JSON type (null for a JSON null) and text of every field, from its typed columns and its
+    rescue column; null for an unreadable record."""
+    typed = [F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("field_name"), F.coalesce(F.try_element_at(CAST, F.lit(c)), F.lit(_json_type(t))).alias("kind"), F.col(c).cast("string").alias("value"))) for c, t in target.items()]
+    held = F.array_compact(F.array(*typed)).cast(_FIELD_TYPE) if typed else F.array().cast(_FIELD_TYPE)
+    return F.when(F.col(RESCUE).isNotNull(), F.concat(held, _entries(RESCUE)) if typed else _entries(RESCUE)).alias(FIELDS)
 
 
 def replay(df: DataFrame, names: dict[str, list[str]], target: dict[str, str]) -> DataFrame:
@@ -79,12 +98,11 @@ def promote(df: DataFrame, field: str, sql_type: str, into: str | None = None) -
     return replay(df, {into or field: [field]}, {into or field: sql_type})
 
 
-def text_fields(column: str) -> Column:
-    """`_fields` of a text column: its own name with the type its text reads as; an empty array for null."""
-    c = F.trim(F.col(column))
+def text_values(column: str) -> Column:
+    """A text column as a map for `enforce`: its own name with what the text reads as, JSON or else a text; empty for null."""
     v = f"try_parse_json(trim({column}))"
-    kind = F.coalesce(F.expr(f"case when {v} is null then 'string' else coalesce({_kind(v)}, 'string') end"), F.lit("string"))
-    return F.when(c.isNull(), F.array().cast(_FIELD_TYPE)).otherwise(F.array(F.struct(F.lit(column).alias("field_name"), kind.alias("kind"), c.alias("value")))).cast(_FIELD_TYPE)
+    value = f"case when {v} is null or is_variant_null({v}) then cast(trim({column}) as variant) else {v} end"
+    return F.expr(f"case when {column} is null then cast(map() as map<string,variant>) else map('{column}', {value}) end")
 
 
 def _parts(name: Column) -> Column:
@@ -93,11 +111,12 @@ def _parts(name: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(snake, r"[^a-z0-9]+"), lambda w: w != ""), lambda w: F.substring(w, 1, 4)))
 
 
-def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
+def changes(records: DataFrame, like: float = 0.45, starts: DataFrame | None = None) -> DataFrame:
     """One row per change (`table_name`, `feed`, `batch_name`, `change_kind`, `field_name`, `new_name`), at the first batch
     that shows it against the batch before.
 
-    `records` has table_name, feed, batch_name, batch_order (any orderable; ties by name) and `_fields`. A batch without any
+    `records` has table_name, feed, batch_name, batch_order (any orderable; ties by name) and `_fields`; `starts` (table_name, feed,
+    batch_name, started) has the orders of batches that are not told by their records. A batch without any
     readable field in any record still counts as a batch if its `_fields` are empty arrays, not if they are null. A removed
     and an added field of one batch are one rename if names and values are alike enough (each field at most once, the
     likest first): half the share of common word starts of the names, half the common share of their value words, for
@@ -105,7 +124,8 @@ def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
     which a field has only nulls keeps the type of the batch before. Empty input gives no rows.
     """
     key = ["table_name", "feed"]
-    base = records.filter(F.col(FIELDS).isNotNull())
+    # The records are parsed once; fields and, for a few of them, values are read from the table.
+    base = cut(records.select(*key, "batch_name", "batch_order", FIELDS)).filter(F.col(FIELDS).isNotNull())
     f = base.select(*key, "batch_name", "batch_order", F.explode_outer(FIELDS).alias("f")).select(*key, "batch_name", "batch_order", "f.*")
     number = F.when(F.col("kind") == "number", F.col("value").try_cast("double"))
     per = f.groupBy(*key, "batch_name", "field_name").agg(
@@ -117,6 +137,8 @@ def changes(records: DataFrame, like: float = 0.45) -> DataFrame:
     )
     per = cut(per)  # one row per field and batch; read several times below
     batches = per.groupBy(*key, "batch_name").agg(F.min("batch_order").alias("batch_order"))
+    if starts is not None:
+        batches = batches.join(starts, [*key, "batch_name"], "left").withColumn("batch_order", F.coalesce("started", "batch_order")).drop("started")
     order = W.partitionBy(*key).orderBy("batch_order", "batch_name")
     batches = batches.select(*key, "batch_name", F.row_number().over(order).alias("at"), F.lead("batch_name").over(order).alias("next_batch"), F.lag("batch_name").over(order).alias("before_batch"))
     most = F.greatest(*[F.col(f"n_{k}") for k in ("array", "boolean", "number", "object", "string")])
@@ -193,20 +215,77 @@ BRONZE_NAMES = {
 }
 
 
-def bronze_batches(df: DataFrame) -> DataFrame:
-    """Raw records as batches: a file is a batch, files of a feed by date."""
-    return ingest(df, "record_json", BRONZE_TARGET).select(F.lit("bronze_records").alias("table_name"), "feed", F.col("bronze_file").alias("batch_name"), F.col("file_date").cast("timestamp").alias("batch_order"), FIELDS)
+#: Rescued fields whose meaning was approved: they fill the target column from the start.
+APPROVED = [(f, c) for c, fields in BRONZE_NAMES.items() for f in fields]
+CATEGORY_TARGET = {"food_category": "string"}
+
+
+def bronze_records(df: DataFrame) -> DataFrame:
+    """Raw records, ingested: a file is a batch, files of a feed by date."""
+    keyed = df.select(F.lit("bronze_records").alias("table_name"), "feed", F.col("bronze_file").alias("batch_name"), F.col("file_date").cast("timestamp").alias("batch_order"), F.col("line_no").cast("string").alias("row_key"), "record_json")
+    return ingest(keyed, "record_json", BRONZE_TARGET).drop("record_json")
+
+
+def trace_records(df: DataFrame) -> DataFrame:
+    """Null rates, ingested: a run is a batch of its source. All rates are rescued, as the target of this table names no column."""
+    keyed = df.select(F.lit("block_trace").alias("table_name"), F.col("source").alias("feed"), F.col("run_id").alias("batch_name"), F.lit(None).cast("timestamp").alias("batch_order"), F.col("id").cast("string").alias("row_key"), "null_rates")
+    return ingest(keyed, "null_rates", {}).drop("null_rates")
 
 
-def trace_batches(df: DataFrame) -> DataFrame:
-    """Null rates of the runs as batches: a run is a batch, runs of a source by their earliest event. All rates are rescued,
-    as the target of this table names no column of its own."""
-    end = ingest(df.select("source", "run_id", "ts", "null_rates"), "null_rates", {})
-    start = F.min("ts").over(W.partitionBy("source", "run_id"))
-    return end.select(F.lit("block_trace").alias("table_name"), F.col("source").alias("feed"), F.col("run_id").alias("batch_name"), start.cast("timestamp").alias("batch_order"), FIELDS)
+def trace_starts(df: DataFrame) -> DataFrame:
+    """Earliest event of each run, readable or not: one row a run."""
+    start = df.groupBy("source", "run_id").agg(F.min("ts").cast("timestamp").alias("started"))
+    return start.select(F.lit("block_trace").alias("table_name"), F.col("source").alias("feed"), F.col("run_id").alias("batch_name"), "started")
 
 
-def category_batches(df: DataFrame) -> DataFrame:
-    """food_category of the catalogue as batches: a file is a batch, files of a feed by name."""
+def category_records(df: DataFrame) -> DataFrame:
+    """food_category of the catalogue, enforced as a text: a file is a batch, files of a feed by name. Lists, objects and numbers
+    are rescued."""
     file = F.col("gcs_source_file")
-    return df.select(F.lit("nutrition_sample").alias("table_name"), F.regexp_extract(file, r"^(.*)/[^/]*$", 1).alias("feed"), file.alias("batch_name"), F.lit(None).cast("timestamp").alias("batch_order"), text_fields("food_category").alias(FIELDS))
+    keyed = df.select(F.lit("nutrition_sample").alias("table_name"), F.regexp_extract(file, r"^(.*)/[^/]*$", 1).alias("feed"), file.alias("batch_name"), F.lit(None).cast("timestamp").alias("batch_order"), F.col("record_id").cast("string").alias("row_key"), "food_category")
+    out = enforce(keyed.withColumn("_text", F.col("food_category")), text_values("_text"), {})
+    # The map's only key is the text itself; a plain text fits the column, all else is rescued.
+    plain = F.expr(f"{_kind('try_element_at(_rescue, \'_text\')')} = 'string'")
+    typed = F.when(plain, F.expr("try_variant_get(try_element_at(_rescue, '_text'), '$', 'string')"))
+    rescue = F.when(plain, F.expr("cast(map() as map<string,variant>)")).otherwise(F.transform_keys(RESCUE, lambda k, v: F.lit("food_category")))
+    return out.withColumns({"food_category": typed, RESCUE: rescue}).withColumn(RESCUED, F.when(F.size(RESCUE) > 0, F.to_json(RESCUE))).drop("_text")
+
+
+def batches_of(ingested: DataFrame, target: dict[str, str]) -> DataFrame:
+    """The ingested records as `changes` reads them."""
+    return ingested.select("table_name", "feed", "batch_name", "batch_order", fields_of(target))
+
+
+def drift_report(bronze: DataFrame, trace: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """All changes of the three drifting tables."""
+    parts = [batches_of(bronze_records(bronze), BRONZE_TARGET), batches_of(trace_records(trace), {}), batches_of(category_records(catalogue), CATEGORY_TARGET)]
+    return changes(parts[0].unionByName(parts[1]).unionByName(parts[2]), starts=trace_starts(trace)).distinct()
+
+
+def consistent_table(bronze: DataFrame, trace: DataFrame, catalogue: DataFrame, approved: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The three tables as one: table_name, feed, batch_name, row_key, the columns of BRONZE_TARGET, `rates` (column name to rate) and
+    `_rescued`. Approved fields are promoted in turn, (field, column) each; then the names that `changes` reports as new or old
+    names of a column are replayed into it. Of the rates numbers are typed, others stay rescued; of the categories that are
+    lists or objects the text of the rescued value stays in `_rescued`."""
+    raw = bronze_records(bronze)
+    found = changes(batches_of(raw, BRONZE_TARGET)).filter("change_kind = 'renamed'").select("field_name", "new_name").distinct()
+    pairs = [tuple(r) for r in found.collect()]  # as many as there are names of fields
+    approved = APPROVED if approved is None else approved
+    names: dict[str, list[str]] = {c: [c] for c in BRONZE_TARGET}
+    for field, column in approved:
+        names[column].append(field)
+    for _ in range(len(pairs) + 1):  # a chain of renames reaches its column at last
+        for column, known in names.items():
+            known += [n for a, b in sorted(pairs) for x, n in ((a, b), (b, a)) if x in known and n not in known and not any(n in k for k in names.values())]
+    records = replay(raw, names, BRONZE_TARGET)
+    keys = ["table_name", "feed", "batch_name", "row_key"]
+    no_rates = F.lit(None).cast("map<string,double>")
+    first = records.select(*keys, *BRONZE_TARGET, no_rates.alias("rates"), RESCUED)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in BRONZE_TARGET.items() if c != "food_category"]
+    numbers = F.map_filter(F.transform_values(RESCUE, lambda k, v: F.try_variant_get(v, "$", "double")), lambda k, v: v.isNotNull())
+    rated = trace_records(trace).withColumn("rates", numbers)
+    other = F.map_filter(RESCUE, lambda k, v: ~F.coalesce(F.map_contains_key("rates", k), F.lit(False)) & ~F.is_variant_null(v))
+    unread = F.coalesce(F.when(F.col(RESCUE).isNull(), F.col(RESCUED)), F.when(F.size(other) > 0, F.to_json(other)))
+    second = rated.select(*keys, *nothing, F.lit(None).cast("string").alias("food_category"), "rates", unread.alias(RESCUED))
+    third = category_records(catalogue).select(*keys, *nothing, "food_category", no_rates.alias("rates"), RESCUED)
+    return first.unionByName(second).unionByName(third)

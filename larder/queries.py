@@ -16,19 +16,13 @@ def p1_common_units(spark: SparkSession, d: str) -> DataFrame:
     return units.common_units(read(spark, d, "nutrition_sample"))
 
 
-def _drift_records(spark: SparkSession, d: str) -> list[DataFrame]:
-    return [drift.bronze_batches(read(spark, d, "bronze_records")), drift.trace_batches(read(spark, d, "block_trace")), drift.category_batches(read(spark, d, "nutrition_sample"))]
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    bronze, trace, category = _drift_records(spark, d)
-    return drift.changes(bronze.unionByName(trace).unionByName(category)).distinct()
+    return drift.drift_report(read(spark, d, "bronze_records"), read(spark, d, "block_trace"), read(spark, d, "nutrition_sample"))
 
 
 def p4_consistent_table(spark: SparkSession, d: str) -> DataFrame:
-    """The raw records as one table: typed columns filled from every known name, the rest as JSON in `_rescued`."""
-    table = drift.replay(drift.ingest(read(spark, d, "bronze_records"), "record_json", drift.BRONZE_TARGET), drift.BRONZE_NAMES, drift.BRONZE_TARGET)
-    return table.select("bronze_file", "line_no", "feed", *drift.BRONZE_TARGET, drift.RESCUED)
+    """The drifting tables as one: typed columns filled from every known name, the rest as JSON in `_rescued`."""
+    return drift.consistent_table(read(spark, d, "bronze_records"), read(spark, d, "block_trace"), read(spark, d, "nutrition_sample"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -25,11 +25,50 @@ def test_plain_grams_are_no_cases_and_empty_tables_pass(spark):
     assert units.common_units(df.limit(0)).collect() == []
 
 
-def test_decoder_follows_a_switch():
-    state = np.array([0] * 20 + [-1] * 6 + [0] * 20, np.int32)
-    value = np.array([30.0] * 20 + [0.03] * 6 + [30.0] * 20)
-    out = units.decode_runs(state, value, np.log(np.full(46, 30.0)))
-    assert {units.NAMES[s] for s in out[20:26]} <= {"kg", "l"}
+SERVINGS = "record_id long, serving_size double, serving_size_unit string, gcs_source_file string"
+
+
+def _servings(n=400):
+    """A device in grams that switches to kilograms without saying so, and another with one unit slip."""
+    rows = [(i, 30.0 + i % 7, "g" if i % 3 else "GRM", "a/x.jsonl") for i in range(n)]
+    rows[120:180] = [(i, (30.0 + i % 7) / 1000, None, "a/x.jsonl") for i in range(120, 180)]
+    rows[250] = (250, 31.0, "kg", "a/x.jsonl")
+    return rows
+
+
+def test_decoder_follows_a_switch(spark):
+    df = spark.createDataFrame(_servings(), SERVINGS)
+    got = {r.record_id: r for r in units.common_units(df).collect()}
+    assert {got[i].unit_name for i in range(120, 180)} <= {"kg", "l"}
+    assert all(got[i].amount_tenths == (30 + i % 7) * 10 for i in range(120, 180))
+
+
+def test_decoder_corrects_a_stated_unit_that_the_level_denies(spark):
+    rows = _servings()
+    by = lambda df: {r.record_id: (r.common_unit, r.amount_tenths) for r in units.found(df).collect()}
+    got = by(spark.createDataFrame(rows, SERVINGS))
+    assert got[250] == ("g", 310) and got[249] == ("g", (30 + 249 % 7) * 10)
+    rows[250] = (250, 31.0, "oz", "a/x.jsonl")  # a large serving, but no slip of a thousand
+    assert by(spark.createDataFrame(rows, SERVINGS))[250] == ("g", 8788)
+
+
+def test_decoding_is_the_same_for_any_block(spark):
+    rows = _servings() + [(1000 + i, 0.25, None, "b/x.jsonl") for i in range(50)] + [(1050, 250.0, "ml", "b/x.jsonl")]
+    df = spark.createDataFrame(rows, SERVINGS)
+    results = [sorted(map(str, units.common_units(df, n).collect())) for n in (7, 64, 10**6)]
+    assert results[0] == results[1] == results[2]
+
+
+def test_composed_pieces_against_one_viterbi():
+    rng = np.random.default_rng(4)
+    for before, after in ((-1, -1), (1, -1), (-1, 0), (2, 1)):
+        e, m = rng.normal(size=(23, 3)), np.log(rng.dirichlet(np.ones(3), 3))
+        m[:] = np.log(0.1)
+        np.fill_diagonal(m, np.log(0.8))
+        whole = units.viterbi(e, m, before, after)
+        cuts = [0, 4, 5, 16, 23]
+        ends = units.compose([units.transfer(e[a:b], m) for a, b in zip(cuts, cuts[1:])], m, before, after)
+        assert ends == [whole[b - 1] for b in cuts[1:]]
 
 
 def test_viterbi_against_all_paths():
@@ -46,7 +85,7 @@ def test_viterbi_against_all_paths():
 def _records(spark, batches):
     rows = [("t", "f", b, i, json.dumps(r) if r is not None else "{cut") for i, (b, rs) in enumerate(batches) for r in rs]
     df = spark.createDataFrame(rows, "table_name string, feed string, batch_name string, n int, j string")
-    return drift.ingest(df, "j", {}).withColumn("batch_order", __import__("pyspark.sql.functions", fromlist=["x"]).timestamp_seconds("n"))
+    return drift.ingest(df, "j", {}).withColumn(drift.FIELDS, drift.fields_of({})).withColumn("batch_order", __import__("pyspark.sql.functions", fromlist=["x"]).timestamp_seconds("n"))
 
 
 def test_changes(spark):
