@@ -59,6 +59,9 @@ _SHARE = re.compile(r"\([^()]*\)|\*.*$|\.\s.*$|\.$")
 
 
 def folded(name: str) -> str:
+    """Folded name without trade marks; plain ASCII needs no more than lower case."""
+    if name.isascii() and "&" not in name and "<" not in name:
+        return name.lower()
     return fold(mend(_MARKS.sub(" ", name)))
 
 
@@ -89,6 +92,12 @@ def words_of(name: str | None, joined: bool = True) -> list[str]:
     return _TOKEN.findall(_JOINED.sub("" if joined else " ", folded(name))) if name else []
 
 
+def line_of(name: str, around: Iterable[str], common: set[str]) -> str | None:
+    """The one word of a name that is neither common nor among the words `around` it in brand and firm names."""
+    names = {w for w in pieces(name) if w[0].isalpha() and w not in common and w not in around and len(w) > 2}
+    return names.pop() if len(names) == 1 else None
+
+
 def items_of(ingredients: str | None) -> set[str]:
     """Ingredients of a list, without shares, remarks and the word before the first one."""
     if not ingredients:

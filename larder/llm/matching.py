@@ -49,11 +49,16 @@ def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int
     common, house = listing.common_words(spread, said)
     # Words are told apart only for the listings of the firms drawn, a small share of a large catalogue.
     firm = F.substring_index(F.ltrim(F.lower(F.coalesce("brand_owner", "brand_name", F.lit("")))), " ", 1)
-    drawn = named.filter(F.pmod(F.xxhash64(firm), F.lit(1 << 30)) < int(min(1.0, 2.0 * line_rows / max(total, 1)) * (1 << 30)))
-    words = lambda c: F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}]+")
-    known = F.array(*[F.lit(w) for w in sorted(common)]) if common else F.array().cast("array<string>")
-    names = F.array_except(F.array_except(F.filter(words(F.col("product_name")), lambda w: F.length(w) > 2), known), words(F.concat_ws(" ", "brand_name", "brand_owner")))
-    keyed = drawn.select(*columns, "ingredients", F.when(F.size(names) == 1, names[0]).alias("line")).filter("line is not null")
+    drawn = named.filter(F.pmod(F.xxhash64(firm), F.lit(1 << 30)) < int(min(1.0, 1.6 * line_rows / max(total, 1)) * (1 << 30)))
+    known = frozenset(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            around = zip(b["product_name"].to_pylist(), b["brand_name"].to_pylist(), b["brand_owner"].to_pylist())
+            line = [listing.line_of(n, {*listing.words_of(x), *listing.words_of(o)}, known) for n, x, o in around]
+            yield b.append_column("line", pa.array(line, pa.string()))
+
+    keyed = drawn.select(*columns, "ingredients").mapInArrow(run, "product_name string, brand_name string, brand_owner string, ingredients string, line string").filter("line is not null")
     keyed = keyed.dropDuplicates([*columns, "line"])
     few = keyed.withColumn("_i", F.row_number().over(W.partitionBy("line").orderBy(F.xxhash64(*columns)))).filter("_i <= 40")
     rows = few.orderBy(F.xxhash64("line"), "line", "_i").limit(line_rows).select(*columns, "ingredients").collect()
