@@ -16,7 +16,7 @@ from larder.functions import text as tx
 
 # Similarity from which a neighbour votes, confidence from which its category is taken, neighbours, corpus limits.
 VOTE, ACCEPT, NEIGHBOURS = 0.45, 0.60, 5
-CORPUS_DAYS, CORPUS_ROWS, AUGMENT_BELOW = 90, 500_000, 0.25
+CORPUS_DAYS, CORPUS_ROWS = 90, 500_000
 
 
 @dataclass(frozen=True)
@@ -220,3 +220,16 @@ def cached_lookup(df: DataFrame, cache: DataFrame, key: str, now: str, value: st
     """`df` with `value` and `cache_hit`: entries of the cache (key, value, expires_at) that have not expired; the latest per key."""
     live = cache.filter(F.col(expires) > F.lit(now).cast("timestamp")).groupBy(key).agg(F.max_by(value, expires).alias(value))
     return df.join(live, key, "left").withColumn("cache_hit", F.col(value).isNotNull())
+
+
+def corpus_texts(df: DataFrame, key: str, date: str, row_id: str, category: str, mapping: dict[str, str], texts: Sequence[str], least: int) -> DataFrame:
+    """(row_id, category, text) of rows for a corpus: the latest of each non-blank key (ties by id) and all without a key, with a category
+    that `mapping` (stripped lower-case name to label) knows and at least `least` characters of non-blank texts."""
+    keyed = tx.strip(F.coalesce(key, F.lit(""))) != ""
+    columns = [row_id, category, *texts]
+    latest = df.filter(keyed).groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(F.coalesce(date, F.lit("")), -F.col(row_id))).alias("_r")).select("_r.*")
+    rows = latest.unionByName(df.filter(~keyed).select(*columns))
+    table = F.create_map(*[F.lit(x) for k, v in mapping.items() for x in (k, v)])
+    text = F.concat_ws(" ", *[F.nullif(tx.strip(F.col(c)), F.lit("")) for c in texts])
+    out = rows.select(row_id, F.try_element_at(table, F.lower(tx.strip(F.col(category)))).alias("category"), text.alias("text"))
+    return out.filter(F.col("category").isNotNull() & (F.length("text") >= least))

@@ -71,3 +71,8 @@ def compare_columns(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
     """Columns in both and in one of two frames only."""
     x, y = set(a.columns), set(b.columns)
     return {"both": sorted(x & y), "only_first": sorted(x - y), "only_second": sorted(y - x)}
+
+
+def inner_details(df: DataFrame, details: DataFrame, key: str, wanted: Column) -> DataFrame:
+    """Rows of `df` that are wanted, with all columns of the rows of `details` of their key; null keys meet nothing."""
+    return df.filter(wanted).join(details, key)

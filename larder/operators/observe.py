@@ -184,3 +184,36 @@ def backfill_gap(bronze: DataFrame, silver: DataFrame, quarantine: DataFrame, ke
     j = c(bronze, "bronze").join(c(silver, "silver"), list(key), "full").join(c(quarantine, "quarantine"), list(key), "full").fillna(0, ["bronze", "silver", "quarantine"])
     dropped = F.col("bronze") - F.col("silver") - F.col("quarantine")
     return j.withColumns({"dropped": dropped, "drop_percent": F.round(100.0 * dropped / F.nullif(F.col("bronze"), F.lit(0)), 4)})
+
+
+def list_runs(df: DataFrame) -> DataFrame:
+    """The last export of every run."""
+    return latest_logs(df.filter("run_id is not null"), "run_id", ("updated_at", "started_at"))
+
+
+def cost_report(df: DataFrame, calls: str, price: float = 0.0004) -> DataFrame:
+    """Per source: rows, runs and what its classifier calls cost."""
+    return df.filter("source is not null").groupBy("source").agg(F.sum("rows_in").alias("rows_in"), F.count(F.lit(1)).alias("runs"), F.round(F.sum(calls) * price, 6).alias("cost_usd"))
+
+
+def trace_by_run(df: DataFrame) -> DataFrame:
+    """Per run and source: first event, events, blocks and the best score."""
+    return df.groupBy("run_id", "source").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("events"), F.count_distinct("block_name").alias("blocks"), F.max("dq_score").alias("best_score"))
+
+
+def cluster_rows(df: DataFrame) -> DataFrame:
+    """Clusters with `n_members`, null for an unreadable list."""
+    return df.withColumn("n_members", F.json_array_length("members").cast("long"))
+
+
+def quarantine_rows(df: DataFrame, row_id: str, required: Sequence[str]) -> DataFrame:
+    """(row_id, row_hash, reason) of rows that lack required fields; the hash is of those fields."""
+    lacking = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
+    row_hash = F.md5(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in required]))
+    return df.select(row_id, row_hash.alias("row_hash"), lacking.alias("_l")).filter("_l <> ''").select(row_id, "row_hash", F.concat(F.lit("Null in required field(s): "), F.col("_l")).alias("reason"))
+
+
+def gold_log(df: DataFrame) -> DataFrame:
+    """Runs, rows and mean scores per source, rounded to four places."""
+    a, b = F.avg("dq_score_pre"), F.avg("dq_score_post")
+    return df.groupBy("source").agg(F.count(F.lit(1)).alias("runs"), F.sum("rows_in").alias("rows_in"), F.sum("rows_out").alias("rows_out"), F.round(a, 4).alias("dq_score_pre"), F.round(b, 4).alias("dq_score_post"), F.round(b - a, 4).alias("dq_delta"))

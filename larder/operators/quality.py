@@ -153,3 +153,13 @@ def block_metrics(df: DataFrame, required: Sequence[str]) -> DataFrame:
 def text_lengths(df: DataFrame, column: str) -> DataFrame:
     """`df` with the length of the stripped text."""
     return df.withColumn("text_length", F.length(tx.strip(F.col(column))))
+
+
+def silver_normal(df: DataFrame, schema: Schema, as_of: str) -> DataFrame:
+    """All columns of the schema in its order, absent ones as nulls, further ones dropped; the first score is computed anew if a required
+    column had to be added."""
+    out = enforce(df, schema, ())
+    lacking = [c for c in schema.required if c not in df.columns]
+    if lacking and "dq_score_pre" in out.columns:
+        out = quality_score(out, "dq_score_pre", as_of)
+    return out.select(*[f.name for f in schema.fields])

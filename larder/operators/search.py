@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larder.operators.joins import first_per_key
+from larder.operators.reports import suppress_recalled
 
 # BM25 parameters, fusion constant, candidates per list, gains of relevance labels.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -104,3 +105,8 @@ def filter_results(df: DataFrame, domain: str | None = None, category: str | Non
 def sample_queries(df: DataFrame, column: str, order: str, n: int) -> DataFrame:
     """The first n distinct queries by first appearance (a sampling operator)."""
     return df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_o")).orderBy("_o").limit(n).select(column)
+
+
+def suppress_ranked(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows of a ranked list without the recalled ones: fewer than k may be left."""
+    return suppress_recalled(df.orderBy(*order).limit(k))
