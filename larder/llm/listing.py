@@ -287,6 +287,7 @@ class Reader:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self._known = vocabulary.words | vocabulary.common
         self._word: dict[str, str] = {}
         self._names: dict[str, tuple[str, ...]] = {}
         self._amount: dict[tuple[str, str], tuple[str, float]] = {}
@@ -350,12 +351,14 @@ class Reader:
                 units = units or int(next(g for g in c.groups() if g))
                 t = _COUNT.sub(" | ", t)
         out.content = content_code(size, units)
-        tokens = [self.word(x) for x in (self._hyphened(t) if "-" in t else _PIECE.findall(t))]
+        known, plain = self._known, self._word
+        tokens = [x if x in known else plain.get(x) or self.word(x) for x in (self._hyphened(t) if "-" in t else _PIECE.findall(t))]
         out.kind, out.variant, out.flavours, out.names = None, None, [], []
-        weight, i = 0.0, 0
-        while i < len(tokens):
-            for k in v.lengths.get(tokens[i], ()):
-                hit = v.phrases.get(tuple(tokens[i : i + k]))
+        weight, i, n = 0.0, 0, len(tokens)
+        lengths, phrases = v.lengths, v.phrases
+        while i < n:
+            for k in lengths.get(tokens[i], ()):
+                hit = phrases.get((tokens[i],) if k == 1 else tuple(tokens[i : i + k]))
                 if hit:
                     role, code, w = hit
                     if role == "flavour":

@@ -32,7 +32,7 @@ _SAID = ["kind", "flavour", "variant", "content"]
 _ROWS = "record_id long, copy long, said string, kind int, flavour long, variant int, content long"
 
 
-def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int = 15_000, line_rows: int = 40_000, notice_rows: int = 5_000) -> listing.Vocabulary:
+def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int = 10_000, line_rows: int = 25_000, notice_rows: int = 5_000) -> listing.Vocabulary:
     """Vocabulary of a catalogue, fitted on a bounded sample of whole rows in the order of hashes: `spread_rows` listings and
     `notice_rows` notices tell the common words, `line_rows` listings of whole product lines tell what they mean. A line is known
     by the one word of a name that is neither common nor in the listing's firm and brand names; lines are those of firms drawn

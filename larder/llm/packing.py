@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,21 +30,25 @@ CAPACITY = 2048
 TOKENIZERS = os.environ.get("LARDER_TOKENIZERS", "/opt/tokenizers")
 
 
-def encoder(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
-    """A byte-level BPE from a vocabulary file of ranks."""
+NAME = "byte_bpe_50k.tiktoken"
+
+
+def encoder(path: str | None = None):
+    """A byte-level BPE from a vocabulary file of ranks (default: the one in TOKENIZERS)."""
     import tiktoken
 
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-    with open(f"{folder}/{name}", "rb") as f:
+    with open(path or f"{TOKENIZERS}/{NAME}", "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding(NAME, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """(doc_id, tokens) of every document; null and empty texts have 0 tokens."""
+    """(doc_id, tokens) of every document; null and empty texts have 0 tokens. The vocabulary file is shipped to the executors."""
+    docs.sparkSession.sparkContext.addFile(f"{folder}/{NAME}")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(folder)
+        enc = encoder(SparkFiles.get(NAME))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int32())], names=["doc_id", "tokens"])

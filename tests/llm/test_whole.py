@@ -54,7 +54,7 @@ def test_unknown_attributes_meet_nothing_however_many_profiles_lack_a_line(spark
         (13, 5, 50, 4, 12, 0, None), (14, 5, None, 4, 12, 0, 250), (15, 5, None, 4, 12, 0, None),
     ]
     p = spark.createDataFrame(rows, "profile long, brand long, line long, kind int, flavour long, variant int, content long")
-    few, many = ({r.profile: r.line for r in matching._take_lines(p, 7, most).collect()} for most in (10**9, 0))
+    few, many = ({r.profile: r.line for r in matching._take_lines(p, 7, sent).collect()} for sent in (10**9, 0))
     assert few == many and len(few) == len(rows)
     assert {k: few[k] for k in (2, 4, 6, 9, 10, 12, 14, 15)} == {2: 70, 4: None, 6: None, 9: None, 10: 91, 12: None, 14: 50, 15: 50}
 
