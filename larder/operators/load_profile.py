@@ -107,10 +107,12 @@ def score_values(df: DataFrame) -> DataFrame:
     return long.select(F.lit("api_runs").alias("table_name"), "source", "run_id", F.col("started_at").try_cast("timestamp").alias("at"), F.lit("").alias("block_name"), "column_name", F.col("value").alias("text"))
 
 
-def load_profile(values: DataFrame, top: float, around: int = 10) -> DataFrame:
+def load_profile(values: DataFrame, top: float, around: int = 10, least: float = 0.12, widths: float = 8.0) -> DataFrame:
     """One row per (table_name, source, run_id, column_name) of `values` with a number in 0..top: `level_gap` (median distance
-    from the level of the neighbouring runs, in units of `top`), `iqr` of all such distances of the column, exact `ks` of the
-    load's distances against all other loads of the source, and exact `q50` of the column.
+    from the level of the neighbouring runs, in units of `top`), exact `iqr` of all such distances of the column, exact `ks` of the
+    load's distances beyond the usual scatter against those of all other loads of the source, and exact `q50` of the column. The usual
+    scatter reaches to `least` or `widths` interquartile ranges, whichever is more; what lies within it counts as no distance, so
+    `ks` is 0 for loads like the others and near 1 for a load whose blocks have all left the level.
 
     The level of a run's value is the median of up to `around` runs before and after it in the same source, column and
     block, so slow trends and differences between blocks cancel and a spell of up to `around` runs stands out. Repeated
@@ -127,18 +129,20 @@ def load_profile(values: DataFrame, top: float, around: int = 10) -> DataFrame:
     clean = cut(clean)
     ranks = cut(range_ranks(clean, key, "gap"))
     spread = quantiles(ranks, key, "gap").select(*key, (F.col("q75") - F.col("q25")).alias("iqr"))
-    ks = ks_distances(clean, key, "run_id", "gap", ranks)
+    margin = F.greatest(F.lit(least), F.col("iqr") * widths)
+    beyond = F.round(F.signum("gap") * F.greatest(F.abs("gap") - margin, F.lit(0.0)), 6) + F.lit(0.0)
+    clean = clean.join(spread, key, "left").withColumn("beyond", F.when(F.col("gap").isNotNull(), beyond)).drop("iqr")
+    ks = ks_distances(clean, key, "run_id", "beyond")
     per = clean.groupBy(*key, "run_id").agg(F.percentile("gap", F.lit(0.5)).alias("level_gap"), F.percentile("v", F.lit(0.5)).alias("q50"))
     return per.join(ks, [*key, "run_id"], "left").join(spread, key, "left")
 
 
-def findings(values: DataFrame, top: float, least: float = 0.12, widths: float = 8.0, least_ks: float = 0.4) -> DataFrame:
+def findings(values: DataFrame, top: float, least: float = 0.12, widths: float = 8.0, least_ks: float = 0.5) -> DataFrame:
     """Impossible values and unusual loads: (table_name, run_id, column_name, finding) with finding `type` (no number in any
-    notation), `range` (outside 0..top) or `shift` (the load's curve has left that of the other loads, `ks` >= least_ks, and
-    its level is off by at least `least` of the range and `widths` interquartile ranges). Null values are no findings."""
+    notation), `range` (outside 0..top) or `shift` (the curve of the load's distances from its neighbours' level is at least `least_ks`
+    away from that of the other loads, beyond the usual scatter of `least` and `widths`). Null values are no findings."""
     number = number_of(F.col("text"))
     bad = F.when(number.isNull(), "type").when(~number.between(0, top), "range")
     single = values.filter(F.col("text").isNotNull()).withColumn("finding", bad).filter(F.col("finding").isNotNull()).select("table_name", "run_id", "column_name", "finding")
-    gap = F.abs("level_gap")
-    far = load_profile(values, top).filter((F.col("ks") >= least_ks) & (gap >= least) & (gap >= widths * F.col("iqr")))
+    far = load_profile(values, top, least=least, widths=widths).filter(F.col("ks") >= least_ks)
     return single.union(far.select("table_name", "run_id", "column_name", F.lit("shift"))).distinct()

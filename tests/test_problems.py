@@ -129,3 +129,33 @@ def test_findings(spark):
     df = spark.createDataFrame(rows, "table_name string, source string, run_id string, at string, block_name string, column_name string, text string")
     assert {tuple(r) for r in load_profile.findings(df, 1.0).collect()} == {("t", "r07", "c", "shift"), ("t", "r03", "d", "type"), ("t", "r04", "d", "range")}
     assert load_profile.findings(df.limit(0), 1.0).collect() == []
+
+
+def test_the_distance_decides_what_a_shift_is(spark):
+    rows = [("t", "s", f"r{i:02d}", f"{i:02d}", f"b{b}", "c", f"{0.10 + (0.4 if i == 7 and b < 3 else 0.4 if i == 9 and b < 1 else 0):.2f}") for i in range(20) for b in range(5)]
+    df = spark.createDataFrame(rows, "table_name string, source string, run_id string, at string, block_name string, column_name string, text string")
+    runs = lambda **k: {r.run_id for r in load_profile.findings(df, 1.0, **k).collect()}
+    assert runs() == {"r07"} and runs(least_ks=0.15) == {"r07", "r09"} and runs(least_ks=0.9) == set() and runs(least=0.45) == set()
+
+
+def test_fields_come_from_typed_columns_and_the_rescue_column(spark):
+    df = spark.createDataFrame([('{"a": "7", "b": null, "c": [1], "d": true}',), ("{cut",)], "j string")
+    got = drift.ingest(df, "j", {"a": "double", "d": "string"})
+    rows = got.select(drift.fields_of({"a": "double", "d": "string"})).collect()
+    assert {(f.field_name, f.kind) for f in rows[0]._fields} == {("a", "string"), ("b", None), ("c", "array"), ("d", "boolean")} and rows[1]._fields is None
+    none = got.selectExpr("cast(null as double) as a", "d", "_rescue", "_cast")
+    assert "a" not in {f.field_name for f in none.select(drift.fields_of({"a": "double", "d": "string"})).first()._fields}
+
+
+def test_consistent_table_promotes_approved_fields_and_replays_renames(spark):
+    bronze = [("f1", 1, "x", "2024-01-01", '{"title": "Oat", "unit_price": 5}'), ("f2", 1, "x", "2024-01-02", '{"title": "Rye", "unitPriceNow": 5}')]
+    b = spark.createDataFrame(bronze, "bronze_file string, line_no long, feed string, d string, record_json string").selectExpr("*", "cast(d as date) file_date")
+    t = spark.createDataFrame([(1, "s", "r", "2024-01-01", '{"c": 0.5, "d": "odd"}')], "id long, source string, run_id string, ts string, null_rates string")
+    c = spark.createDataFrame([(1, "x/a.jsonl", "Snacks"), (2, "x/a.jsonl", '["Snacks"]'), (3, "x/a.jsonl", None)], "record_id long, gcs_source_file string, food_category string")
+    rows = {(r.table_name, r.batch_name, r.row_key): r for r in drift.consistent_table(b, t, c).collect()}
+    assert [rows["bronze_records", f, "1"].product_name for f in ("f1", "f2")] == ["Oat", "Rye"]
+    assert [rows["bronze_records", f, "1"].unit_price for f in ("f1", "f2")] == [5.0, 5.0]
+    assert rows["block_trace", "r", "1"].rates == {"c": 0.5} and json.loads(rows["block_trace", "r", "1"]._rescued) == {"d": "odd"}
+    assert [rows["nutrition_sample", "x/a.jsonl", str(i)].food_category for i in (1, 2, 3)] == ["Snacks", None, None]
+    assert json.loads(rows["nutrition_sample", "x/a.jsonl", "2"]._rescued) == {"food_category": ["Snacks"]}
+    assert {r.product_name for r in drift.consistent_table(b, t, c, approved=[]).filter("table_name = 'bronze_records'").collect()} == {None}
