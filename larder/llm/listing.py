@@ -30,7 +30,7 @@ FIRMS = 4.0
 #: often than by chance.
 LEAST, TOGETHER, LIFT = 5, 0.1, 3.0
 #: Times by which a concept is more frequent in lines that use it than elsewhere, and its least rate there.
-STICKY, OWN = 1.8, 0.1
+STICKY, OWN = 1.5, 0.1
 #: Share of a concept's own rate that a phrase of the same meaning reaches; least listings of a new concept.
 SAME, NEW = 0.65, 25
 #: Share of a phrase's listings that may have another phrase of the same meaning.

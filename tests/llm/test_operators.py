@@ -137,7 +137,7 @@ def test_slips_against_all_pairs(spark):
 def test_linkage(spark):
     names = [("Boger Krilatrapa Lite Ember Quimmel, 907 g", *HERE), ("Krilatrapa Quimmel Emberine Airy", *HERE), ("Krilatrapa Tansel Lite Quimmel 907g", *HERE), ("Boger Nonurifo Crispleaf Lurp 340 g", *HERE)]
     others = catalogue()
-    c = spark.createDataFrame([(i + 1, *n[:3], None) for i, n in enumerate([*names, *others])], "record_id long, product_name string, brand_name string, brand_owner string, ingredients string")
+    c = spark.createDataFrame([(i + 1, *n[:3], n[3] if n[3:] else None) for i, n in enumerate([*names, *others])], "record_id long, product_name string, brand_name string, brand_owner string, ingredients string")
     notices = [(f"N{i}", f"Packaged {n}, LOT A{i}, film wrapped", o) for i, (n, b, o, _) in enumerate(others[::7])]
     notices += [("R1", "Packaged Quimmel: Boger brand Krilatrapa - Ember and Tansel / Lite - net 2 lb, LOT A1", "Boger Provisions Inc."), ("R2", "Boger Krilatrapa Half Sweet Dullberry Quimmel 907 g", None), ("R3", "Krilatrapa Lite Ember Quimmel, 907 g, Batch 9", "Other Trading Ltd."), ("R4", None, None), ("R5", "", "")]
     r = spark.createDataFrame(notices, "recall_number string, product_description string, recalling_firm string")

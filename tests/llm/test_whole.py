@@ -60,5 +60,5 @@ def test_unknown_attributes_meet_nothing_however_many_profiles_lack_a_line(spark
 
 
 def test_slips_of_a_frequent_brand_are_corrected_however_many(spark):
-    tokens = spark.createDataFrame([("serepis", 5000), ("seepis", 26), ("sereepis", 100), ("serepiss", 101), ("boger", 40), ("bogerr", 6), ("loom", 90), ("looom", 5)], "token string, n long")
-    assert {r.token: r.right for r in matching.spellings(tokens).collect()} == {"seepis": "serepis", "sereepis": "serepis", "looom": "loom"}
+    tokens = spark.createDataFrame([("serepis", 5000), ("seepis", 26), ("sereepis", 200), ("serepiss", 220), ("boger", 40), ("bogerr", 12), ("loom", 90), ("looom", 5), ("aronia", 1000000), ("aroniia", 21000)], "token string, n long")
+    assert {r.token: r.right for r in matching.spellings(tokens).collect()} == {"seepis": "serepis", "sereepis": "serepis", "looom": "loom", "aroniia": "aronia"}
