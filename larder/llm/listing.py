@@ -29,8 +29,8 @@ FIRMS = 4.0
 #: Least count of a phrase, share of its rarer word's listings that it makes up, and times by which its words stand together more
 #: often than by chance.
 LEAST, TOGETHER, LIFT = 5, 0.1, 3.0
-#: Times by which a concept is more frequent in lines that use it than elsewhere, and its least rate there.
-STICKY, OWN = 1.5, 0.1
+#: Times by which a concept, and a further phrase of one, is more frequent in lines that use it than elsewhere; least rate there.
+STICKY, JOIN, OWN = 1.5, 1.5, 0.1
 #: Share of a concept's own rate that a phrase of the same meaning reaches; least listings of a new concept.
 SAME, NEW = 0.65, 25
 #: Share of a phrase's listings that may have another phrase of the same meaning.
@@ -208,7 +208,7 @@ def learn(rows: list[tuple[str, str | None, str | None, str | None]], common: se
         rated = [(rate(per[p], concepts[k]["per"]), k) for k, _ in near.most_common(50)]
         # Names of one thing do not stand together, unless the one never stands without the other.
         alone = lambda k: (s := beside(p, concepts[k])) <= APART or s >= 1 - 2 * APART and n[p] >= NEW  # noqa: E731, B023
-        rated = [(r, k) for r, k in rated if alone(k) and r >= max(SAME * concepts[k]["own"], STICKY * sum(concepts[k]["per"].values()) / total)]
+        rated = [(r, k) for r, k in rated if alone(k) and r >= max(SAME * concepts[k]["own"], JOIN * sum(concepts[k]["per"].values()) / total)]
         if rated:
             r, k = max(rated)
             concepts[k]["phrases"].append((p, r))
