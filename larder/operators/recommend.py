@@ -111,15 +111,15 @@ def cross_category(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hops:
     return ranked.filter(F.col("rank") <= k).select("source", F.col("node").alias("product"), "hop", F.round("affinity", 4).alias("affinity"), "rank")
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 10) -> DataFrame:
-    """(source, target, hops, path) of a shortest directed path of at most `most` edges for each pair (least path in order of its
-    nodes); no row where there is none. The search of a source stops when its targets are reached."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, limit: int = 1000) -> DataFrame:
+    """(source, target, hops, path) of a shortest directed path for each pair (least path in order of its nodes); no row where there
+    is none. The search of a source stops when its targets are reached or nothing new is; paths beyond `limit` edges raise."""
     e = edges.select("src", "dst").distinct()
     todo = cut(pairs.select("source", "target").distinct())
     found = todo.filter("source = target").select("source", "target", F.lit(0).alias("hops"), F.array("source").alias("path"))
     front = cut(todo.filter("source <> target").select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path")))
     seen = front.select("source", "node")
-    for hop in range(1, most + 1):
+    for hop in range(1, limit + 1):
         step = front.join(e.withColumnRenamed("src", "node"), "node").select("source", "dst", F.concat("path", F.array("dst")).alias("path"))
         new = cut(step.groupBy("source", F.col("dst").alias("node")).agg(F.min("path").alias("path")).join(seen, ["source", "node"], "left_anti"))
         reached = todo.join(new.select("source", F.col("node").alias("target"), "path"), ["source", "target"]).select("source", "target", F.lit(hop).alias("hops"), "path")
@@ -129,8 +129,8 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 10) -> DataFr
         front = new.join(open_sources, "source", "left_semi")
         seen = cut(seen.union(new.select("source", "node")))
         if front.limit(1).count() == 0:
-            break
-    return found
+            return found
+    raise RuntimeError(f"paths longer than {limit} edges")
 
 
 def coverage(rules: DataFrame, columns: Sequence[str] = ("antecedent", "consequent")) -> DataFrame:

@@ -160,3 +160,28 @@ def test_idempotent_sink_and_cursor(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "a", 5), (3, "b", 7)]
     page, mark = ev.cursor_page(df, 1, 1)
     assert page.count() == 1 and mark == 2 and ev.cursor_page(df, 9)[1] == 9
+
+
+def test_shortest_paths_against_breadth_first_search(spark):
+    import random
+
+    from larder.operators import recommend
+
+    rng = random.Random(6)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)} | {(100 + i, 101 + i) for i in range(14)}
+    pairs = [(a, b) for a in range(0, 30, 5) for b in range(30)] + [(100, 114)]
+
+    def hops(a, b):
+        seen, front, n = {a}, {a}, 0
+        while front:
+            if b in front:
+                return n
+            front = {y for x, y in edges if x in front} - seen
+            seen, n = seen | front, n + 1
+        return None
+
+    e = spark.createDataFrame(sorted(edges), "src long, dst long")
+    got = {(r.source, r.target): r for r in recommend.shortest_paths(e, spark.createDataFrame(pairs, "source long, target long")).collect()}
+    want = {(a, b): n for a, b in pairs if (n := hops(a, b)) is not None}
+    assert {k: r.hops for k, r in got.items()} == want and want[100, 114] == 14
+    assert all(len(r.path) == r.hops + 1 and all(x in edges for x in zip(r.path, r.path[1:])) for r in got.values())
