@@ -45,7 +45,7 @@ def vocabulary(df: DataFrame, notices: DataFrame | None = None, spread_rows: int
     said = []
     if notices is not None:
         notices = notices.select("product_description", "recalling_firm").filter("product_description is not null")
-        said = [tuple(r) for r in first(notices, F.xxhash64(*notices.columns), notice_rows, notices.count()).collect()]
+        said = [tuple(r) for r in notices.orderBy(F.xxhash64(*notices.columns), *notices.columns).limit(notice_rows).collect()]
     common, house = listing.common_words(spread, said)
     # Words are told apart only for the listings of the firms drawn, a small share of a large catalogue.
     firm = F.substring_index(F.ltrim(F.lower(F.coalesce("brand_owner", "brand_name", F.lit("")))), " ", 1)
