@@ -52,13 +52,13 @@ def exact_classes(df: DataFrame, row_id: str, keys: Sequence[str]) -> DataFrame:
 
 
 #: Classes of characters that are counted to bound a score.
-_CLASSES = ("a", "b", "c", "d", "e", "fg", "h", "i", "jk", "l", "m", "n", "o", "p", "qr", "s", "t", "u", "vw", "xyz", "0123456789", " ")
+_CLASSES = ("a", "b", "c", "d", "e", "fg", "h", "i", "jk", "l", "m", "n", "o", "p", "qr", "s", "t", "u", "vw", "xyz", "0123456789")
 
 
 def letter_counts(text: Column) -> Column:
     """Characters of each class in a text, the rest as a last class."""
     counts = [F.length(text) - F.length(F.translate(text, c, "")) for c in _CLASSES]
-    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
+    return F.array(*counts, F.length(F.translate(text, "".join(_CLASSES), "")))
 
 
 def ratio_bound(counts_a: Column, counts_b: Column, length_a: Column, length_b: Column) -> Column:
@@ -79,6 +79,7 @@ def fuzzy_links(df: DataFrame, row_id: str, name: str = "product_name", brand: s
     single = tx.squeeze(F.col("n"))
     reps = reps.withColumns({"ln": F.length(single), "lb": F.length("b"), "cn": letter_counts(single), "cb": letter_counts(F.col("b"))})
     reps = reps.withColumns({"cw": letter_counts(tx.squeeze(F.concat_ws(" ", "n", "b"))), "lw": F.length(tx.squeeze(F.concat_ws(" ", "n", "b")))})
+    reps = cut(reps)
     left = reps.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))).withColumns({"lo": F.least("slice", "other"), "hi": F.greatest("slice", "other")})
     a = left.alias("x")
     b = left.alias("y")
