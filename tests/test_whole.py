@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 
 from larder import analytics_queries
+from larder.operators import recommend
 from tests import oracle
 
 
@@ -17,3 +18,54 @@ def test_fusion_takes_fifty_candidates_of_each_list(spark, tmp_path):
     documents = docs  # noqa: F841 (the table of the SQL)
     got = analytics_queries.s_rank_fusion(spark, str(tmp_path)).toPandas()
     assert oracle.rows(got) == oracle.rows(duckdb.sql(sql).df())
+
+
+def _far(near: dict, start: int) -> dict[int, int]:
+    far, front = {start: 0}, [start]
+    for x in front:
+        for y in sorted(near.get(x, set()) - far.keys()):
+            far[y] = far[x] + 1
+            front.append(y)
+    return far
+
+
+def test_searches_share_the_rows_of_a_node(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(400)] + [(200 + i, 201 + i) for i in range(6)]
+    pairs = [(a, b) for a in range(70) for b in range(120)] + [(200, 206), (206, 200)]
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+    want = {(a, b): n for a, b in pairs if (n := _far(near, a).get(b)) is not None}
+    assert want[200, 206] == 6 and (206, 200) not in want
+    e, p = spark.createDataFrame(edges + edges[:20], "src long, dst long"), spark.createDataFrame(pairs, "source long, target long")
+    got = [tuple(r) for r in recommend.shortest_hops(e, p).select("source", "target", "hops").collect()]
+    assert {(a, b): n for a, b, n in got} == want and len(got) == len(want)
+    back = recommend.shortest_hops(e.selectExpr("dst src", "src dst"), p.selectExpr("target source", "source target"))
+    assert {(r.target, r.source): r.hops for r in back.collect()} == want
+
+
+def test_paths_of_the_query_keep_no_row_for_each_search_and_node(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    lines = pd.DataFrame({"l_partkey": [rng.randrange(12_000) for _ in range(15_000)], "l_suppkey": [rng.randrange(400) for _ in range(15_000)]})
+    lines.to_parquet(tmp_path / "lineitem.parquet")
+    pd.DataFrame({"p_partkey": range(12_000)}).to_parquet(tmp_path / "part.parquet")
+    pd.DataFrame({"s_suppkey": range(400)}).to_parquet(tmp_path / "supplier.parquet")
+    written, cut = [], recommend.cut
+
+    def counted(df, *done):
+        out = cut(df, *done)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(recommend, "cut", counted)
+    got = {(r.source, r.target): r.hops for r in analytics_queries.g_shortest_path(spark, str(tmp_path)).collect()}
+    near: dict[int, set[int]] = {}
+    for q, s in zip(lines.l_partkey, lines.l_suppkey):
+        near.setdefault(-1 - q, set()).add(s)
+        near.setdefault(s, set()).add(-1 - q)
+    want = {}
+    for t in range(1, 400, 100):
+        far = _far(near, t)
+        want |= {(-q, t): far[-1 - q] for q in range(0, 12_000, 100) if -1 - q in far}
+    assert got == want and max(written) <= len(near)
