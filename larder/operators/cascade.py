@@ -19,6 +19,8 @@ from larder.session import cut
 
 # Least corpus for a search, share of the unresolved rows below which the corpus is filled up.
 LEAST_CORPUS, AUGMENT_BELOW = 1000, 0.25
+#: Cosines that a task holds at once.
+SIMILARITIES = 4_000_000
 CATEGORY, SAFETY = "primary_category", ("allergens", "dietary_tags", "is_organic")
 CORPUS = "id string, text string, category string, embedding array<float>, last_seen timestamp"
 
@@ -52,36 +54,54 @@ def corpus_rows(df: DataFrame, as_of: str, encode: Callable = hashed_vectors) ->
     return encode(rows, "text").filter("embedding is not null").select("id", "text", "category", "embedding", F.lit(as_of).cast("timestamp").alias("last_seen"))
 
 
+def _matrix(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(vectors), -1) if len(vectors) else np.zeros((0, 0), np.float32)
+
+
+def _similarities(q: np.ndarray, matrix: np.ndarray, most: int = SIMILARITIES) -> Iterator[np.ndarray]:
+    """For each row of `q` its cosines to the rows of `matrix`, of which at most `most` (or one row's) are held at once."""
+    step = max(1, most // max(1, len(matrix)))
+    for lo in range(0, len(q), step):
+        yield from q[lo : lo + step] @ matrix.T
+
+
+def _best(row: np.ndarray, k: int, vote: float) -> np.ndarray:
+    """Places of the k greatest values of at least `vote`, in order; ties by place."""
+    at = np.flatnonzero(row >= vote)
+    if len(at) > k:
+        at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+    return at[np.argsort(-row[at], kind="stable")[:k]]
+
+
 def nearest_category(queries: DataFrame, corpus: DataFrame, key: str, k: int = E.NEIGHBOURS, vote: float = E.VOTE, accept: float = E.ACCEPT, most: int = E.CORPUS_ROWS) -> DataFrame:
     """(key, category, confidence) of each row of `queries` (key, embedding): the label with the greatest summed cosine among its k
     nearest corpus entries of at least `vote` (ties: the first label); null below a mean of `accept`. The corpus, at most
     `most` entries by its eviction, goes to the tasks; the queries are scanned once. A larger corpus raises."""
-    entries = corpus.select("id", "category", "embedding").orderBy("id").limit(most + 1).toArrow()
+    entries = corpus.select("id", "category", "embedding").orderBy("id").limit(most + 1).select("category", "embedding").toArrow()
     if entries.num_rows > most:
         raise ValueError(f"evict the corpus to {most} entries first")
-    labels = np.array(entries["category"].to_pylist(), object)
-    matrix = np.array(entries["embedding"].to_pylist(), np.float32)
-    sent = queries.sparkSession.sparkContext.broadcast((labels, matrix))
+    names = entries["category"].combine_chunks().dictionary_encode()
+    labels = names.dictionary.to_pylist()
+    codes, matrix = names.indices.to_numpy(zero_copy_only=False), _matrix(entries["embedding"].combine_chunks())
+    del entries, names
+    sent = queries.sparkSession.sparkContext.broadcast((labels, codes, matrix))
     kind = dict(queries.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labels, matrix = sent.value
+        labels, codes, matrix = sent.value
         for b in batches:
-            q = np.array(b["embedding"].to_pylist(), np.float32)
+            q = _matrix(b["embedding"])
             found: list[str | None] = []
             sure: list[float | None] = []
-            for lo in range(0, len(q), 256):
-                s = q[lo : lo + 256] @ matrix.T
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                for row, at in zip(s, top):
-                    by: dict[str, list[float]] = {}
-                    for i in at:
-                        if row[i] >= vote:
-                            by.setdefault(labels[i], []).append(float(row[i]))
-                    best = min(by, key=lambda x: (-sum(by[x]), x), default=None)
-                    mean = sum(by[best]) / len(by[best]) if best is not None else None
-                    found.append(best if mean is not None and mean >= accept else None)
-                    sure.append(mean)
+            for row in _similarities(q, matrix):
+                by: dict[str, list[float]] = {}
+                for i in _best(row, k, vote):
+                    by.setdefault(labels[codes[i]], []).append(float(row[i]))
+                best = min(by, key=lambda x: (-sum(by[x]), x), default=None)
+                mean = sum(by[best]) / len(by[best]) if best is not None else None
+                found.append(best if mean is not None and mean >= accept else None)
+                sure.append(mean)
             yield pa.RecordBatch.from_arrays([b[key], pa.array(found, pa.string()), pa.array(sure, pa.float64())], names=[key, "category", "confidence"])
 
     return queries.filter("embedding is not null").select(key, "embedding").mapInArrow(run, f"{key} {kind}, category string, confidence double")

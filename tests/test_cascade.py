@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from larder.operators import cascade, dedup
@@ -55,3 +59,56 @@ def test_blank_names_and_copies_are_no_hot_groups(spark):
     rows = [(i, "", None) for i in range(50)] + [(100 + i, "oat flakes", "sun") for i in range(5)] + [(200, "oat flake", "sun"), (201, None, None)]
     got = {r.id: r.duplicate_group_id for r in dedup.duplicate_groups(spark.createDataFrame(rows, "id long, product_name string, brand_name string"), "id").collect()}
     assert all(got[i] == i for i in range(50)) and {got[100 + i] for i in range(5)} | {got[200]} == {100} and got[201] == 201
+
+
+def test_neighbours_are_those_of_a_full_sort_in_bounded_memory():
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (60_000, 4)).astype(np.float32)
+    v = v[np.abs(v).sum(1) > 0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    labels = np.array([f"c{i}" for i in rng.integers(0, 5, len(v))], object)
+    run = []
+
+    class Corpus:
+        select = orderBy = limit = lambda self, *_: self
+
+        def toArrow(self):
+            return pa.table({"category": pa.array(labels, pa.string()), "embedding": pa.array(list(v), pa.list_(pa.float32()))})
+
+    class Queries:
+        dtypes = [("id", "bigint")]
+        sparkSession = property(lambda self: self)
+        sparkContext = sparkSession
+        filter = select = lambda self, *_: self
+
+        def broadcast(self, value):
+            self.value = value
+            return self
+
+        def mapInArrow(self, f, _):
+            run.append(f)
+
+    cascade.nearest_category(Queries(), Corpus(), "id")
+    q = v[:300]
+    batch = pa.record_batch({"id": pa.array(range(len(q))), "embedding": pa.array(list(q), pa.list_(pa.float32()))})
+    tracemalloc.start()
+    got = next(iter(run[0](iter([batch])))).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for n, r in enumerate(got):
+        s = next(cascade._similarities(q[n : n + 1], v))
+        top = np.argsort(-s, kind="stable")[:5]
+        by = {}
+        for i in top:
+            by.setdefault(labels[i], []).append(float(s[i]))
+        best = min(by, key=lambda x: (-sum(by[x]), x))
+        assert abs(r["confidence"] - sum(by[best]) / len(by[best])) < 1e-6
+    assert peak < 60_000_000
+
+
+def test_the_best_are_those_of_a_full_sort():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 4, 5, 6, 300):
+        row = rng.integers(0, 8, n).astype(np.float32) / 8
+        full = [i for i in np.argsort(-row, kind="stable") if row[i] >= 0.45][:5]
+        assert cascade._best(row, 5, 0.45).tolist() == full
