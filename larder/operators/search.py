@@ -45,9 +45,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean_idf"))
     wanted = queries.select(F.col(query_id).alias("q"), F.explode(tokens(F.col(query))).alias("term")).groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = wanted.join(idf, "term").crossJoin(F.broadcast(mean))  # one row
+    wanted = wanted.hint("merge").join(idf.hint("merge"), "term").crossJoin(F.broadcast(mean))  # one row
     wanted = wanted.select("q", "term", "qtf", "avg_len", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    hits = postings.join(wanted, "term")
+    # Sizes estimated from compressed files make postings and vocabulary look small; neither is ever sent to the driver.
+    hits = postings.hint("merge").join(wanted.hint("merge"), "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scores = hits.groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
     best = scores.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "d"))).filter(F.col("rank") <= k)

@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import pandas as pd
+import pytest
 
 from larder import analytics_queries
 from larder.operators import recommend
@@ -69,3 +70,11 @@ def test_paths_of_the_query_keep_no_row_for_each_search_and_node(spark, tmp_path
         far = _far(near, t)
         want |= {(-q, t): far[-1 - q] for q in range(0, 12_000, 100) if -1 - q in far}
     assert got == want and max(written) <= len(near)
+
+
+@pytest.mark.parametrize("name", ["s_bm25"])
+def test_searches_broadcast_nothing_that_grows(spark, tmp_path, name):
+    docs = pd.DataFrame({"doc_id": range(1, 201), "text": ["jam soup tofu"] * 200, "title": ["jam"] * 200, "n_chars": [13] * 200, "url": [f"{i:0200d}" for i in range(200)]})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    plan = analytics_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
