@@ -72,7 +72,7 @@ def test_paths_of_the_query_keep_no_row_for_each_search_and_node(spark, tmp_path
     assert got == want and max(written) <= len(near)
 
 
-@pytest.mark.parametrize("name", ["s_bm25"])
+@pytest.mark.parametrize("name", ["s_bm25", "s_rank_fusion"])
 def test_searches_broadcast_nothing_that_grows(spark, tmp_path, name):
     docs = pd.DataFrame({"doc_id": range(1, 201), "text": ["jam soup tofu"] * 200, "title": ["jam"] * 200, "n_chars": [13] * 200, "url": [f"{i:0200d}" for i in range(200)]})
     docs.to_parquet(tmp_path / "documents.parquet")
