@@ -38,7 +38,8 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     Inverse document frequencies below zero become EPSILON times the mean over all words; a word repeated in the query counts
     again. Postings are cut to the queries' words before anything is joined; document statistics cover all documents. Null and
     empty texts count as documents of no words."""
-    words = docs.select(F.col(doc_id).alias("d"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    # The texts are exchanged once, by document, and their words are counted where they are.
+    words = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).repartition("d").select("d", tokens(F.coalesce(F.col("t"), F.lit(""))).alias("w"))
     stats = words.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg_len"))
     postings = words.select("d", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(stats))  # one row

@@ -78,3 +78,16 @@ def test_searches_broadcast_nothing_that_grows(spark, tmp_path, name):
     docs.to_parquet(tmp_path / "documents.parquet")
     plan = analytics_queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_rank_fusion_exchanges_texts_once_and_lengths_instead_of_documents(spark, tmp_path):
+    rng = random.Random(8)
+    sizes = [rng.choice([None, 40, 41, 44, 60]) for _ in range(1200)]
+    docs = pd.DataFrame({"doc_id": range(1200), "text": ["jam soup tofu"] * 1200, "title": ["jam"] * 1200, "n_chars": pd.array(sizes, "Int64")})
+    docs.to_parquet(tmp_path / "documents.parquet")
+    got = analytics_queries.nearest_by_number(spark.createDataFrame([(1, 42), (2, 42), (3, None), (4, 60)], "query_id long, q_chars long"), spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "n_chars"), 50)
+    near = lambda v: [i for _, i in sorted((abs(n - v) if None not in (n, v) else 1 << 62, i) for i, n in enumerate(sizes))[:50]]
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "doc_id").collect()) == [(q, k, i) for q, v in ((1, 42), (2, 42), (3, None), (4, 60)) for k, i in enumerate(near(v), 1)]
+    plan = analytics_queries.s_rank_fusion(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
+    assert any(x.startswith("d#") for x in keys) and not any("d#" in x and "term#" in x for x in keys)
