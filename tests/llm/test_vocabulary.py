@@ -1,6 +1,7 @@
+import numpy as np
 import pytest
 
-from larder.llm import listing, matching
+from larder.llm import linkage, listing, matching
 from tests.llm.test_operators import catalogue
 
 COLUMNS = "product_name string, brand_name string, brand_owner string, ingredients string"
@@ -30,3 +31,13 @@ def test_tables_without_listings_or_lines(spark):
     empty = matching.vocabulary(spark.createDataFrame([], COLUMNS), spark.createDataFrame([], "product_description string, recalling_firm string"))
     assert not empty.phrases and not empty.common
     assert not matching.vocabulary(spark.createDataFrame([("", None, None, None), (None, "a", "b", ""), ("12 oz", "a", "", None)], COLUMNS)).phrases
+
+
+def test_notices_alike_weigh_as_often_as_they_occur():
+    rng = np.random.default_rng(5)
+    levels = rng.integers(0, 3, (40, 7))
+    entry, pairs, times = np.repeat(np.arange(10), 4), rng.integers(1, 4, 40), np.repeat(rng.integers(1, 30, 10), 4)
+    every = [(e * 1000 + t, i) for i, e in enumerate(entry) for t in range(times[i]) for _ in range(pairs[i])]
+    want = linkage.estimate(np.array([n for n, _ in every]), levels[[i for _, i in every]])
+    got = linkage.estimate(entry, levels, pairs=pairs, times=times)
+    assert np.allclose(got[0], want[0], atol=1e-3) and abs(got[1] - want[1]) < 1e-3
