@@ -159,3 +159,25 @@ def test_consistent_table_promotes_approved_fields_and_replays_renames(spark):
     assert [rows["nutrition_sample", "x/a.jsonl", str(i)].food_category for i in (1, 2, 3)] == ["Snacks", None, None]
     assert json.loads(rows["nutrition_sample", "x/a.jsonl", "2"]._rescued) == {"food_category": ["Snacks"]}
     assert {r.product_name for r in drift.consistent_table(b, t, c, approved=[]).filter("table_name = 'bronze_records'").collect()} == {None}
+
+
+def test_runs_decoded_together_are_those_decoded_alone():
+    rng = np.random.default_rng(7)
+    length = rng.integers(1, 9, 40)
+    first = np.cumsum(length) - length
+    e, m = rng.normal(size=(length.sum(), 4)), np.log(rng.dirichlet(np.ones(4), 4))
+    before, after = rng.integers(-1, 4, 40), rng.integers(-1, 4, 40)
+    got = units.viterbi_runs(e, m, first, length, before, after)
+    for i, (f, n) in enumerate(zip(first, length)):
+        assert got[f : f + n].tolist() == units.viterbi(e[f : f + n], m, before[i], after[i]).tolist()
+
+
+def test_each_text_is_searched_once_and_runs_are_decoded_together(spark, monkeypatch):
+    df = spark.createDataFrame(_servings(), SERVINGS)
+    plans = []
+    kept = units.cut
+    monkeypatch.setattr(units, "cut", lambda d, *x: (plans.append(d._jdf.queryExecution().optimizedPlan().toString()), kept(d, *x))[1])
+    out = units.common_units(df)
+    # One search for amounts in any unit, one for a unit alone.
+    assert plans[0].count("milligrammes|") == 2
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().optimizedPlan().toString()
