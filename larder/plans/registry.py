@@ -69,8 +69,8 @@ def _golden(df: DataFrame, c: Context) -> DataFrame:
 BLOCKS: dict[str, Block] = {
     "dq_score_pre": _pre, "dq_score_post": _post, "__generated__": _generated, "strip_whitespace": lambda df, c: cleaning.strip_whitespace(df), "lowercase_brand": lambda df, c: cleaning.lowercase_brand(df),
     "remove_noise_words": lambda df, c: cleaning.remove_noise_words(df), "strip_punctuation": lambda df, c: cleaning.strip_punctuation(df), "keep_quantity_in_name": lambda df, c: df,
-    "extract_quantity_column": lambda df, c: cleaning.extract_quantity(df), "fuzzy_deduplicate": lambda df, c: dedup.duplicate_groups(df, c.row_id), "column_wise_merge": _merge, "golden_record_select": _golden,
-    "extract_allergens": lambda df, c: cleaning.extract_allergens(df), "llm_enrich": lambda df, c: cut(enrich.apply_rules(df)),  # the rules' values are used many times by the score
+    "extract_quantity_column": lambda df, c: cleaning.extract_quantity(df), "fuzzy_deduplicate": lambda df, c: dedup.duplicate_groups(cut(df), c.row_id), "column_wise_merge": _merge, "golden_record_select": _golden,
+    "extract_allergens": lambda df, c: cleaning.extract_allergens(df), "llm_enrich": lambda df, c: cut(enrich.apply_rules(df)),  # the rules' values are used many times by the score, the cleaned rows several times by deduplication
 }
 
 

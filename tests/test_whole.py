@@ -91,3 +91,44 @@ def test_rank_fusion_exchanges_texts_once_and_lengths_instead_of_documents(spark
     plan = analytics_queries.s_rank_fusion(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     keys = [x.split(")")[0] for x in plan.split("hashpartitioning(")[1:]]
     assert any(x.startswith("d#") for x in keys) and not any("d#" in x and "term#" in x for x in keys)
+
+
+def test_scores_of_many_pairs_are_those_of_each():
+    import random
+
+    from larder.functions import text as tx
+    from larder.operators import pairs
+
+    r = random.Random(1)
+    words = ["ab", "cream", "crème", "日本", "soup" * 9, "x" * 70, "lite", "", "tea", "7up", "ÿ𝄞"]
+    name, brand = ([" ".join(r.choice(words) for _ in range(r.randint(0, k))) for _ in range(120)] for k in (6, 2))
+
+    def score(i, j):
+        (n, m), (b, c) = ((t[i], t[j]) for t in (name, brand))
+        return (0.5 * tx.indel_ratio(tx.token_sort(n), tx.token_sort(m)) + 0.2 * tx.indel_ratio(b, c) + 0.3 * tx.indel_ratio(tx.token_sort(f"{n} {b}"), tx.token_sort(f"{m} {c}"))) / 100
+
+    met = [(i, j) for i in range(50) for j in range(i + 1, 50)] + [(i, j) for i in range(50, 70) for j in range(70, 120)]
+    for least in (0.3, 0.6, 0.85):
+        got = pairs.linked(name, brand, [(slice(0, 50), slice(0, 50)), (slice(50, 70), slice(70, 120))], (0.5, 0.2, 0.3), least)
+        assert {(i, j): s for i, j, s in zip(*(x.tolist() for x in got))} == {(i, j): s for i, j in met if (s := score(i, j)) >= least}
+
+
+def test_links_do_not_depend_on_slices_or_on_what_a_task_holds(spark, monkeypatch):
+    import random
+
+    from larder.operators import dedup, pairs
+
+    r = random.Random(2)
+    rows = [(i, "soup " + "".join(r.choice("abc") for _ in range(7)) + r.choice([" mild", " hot", ""]), r.choice(["Acme", "Acme Ltd", None])) for i in range(400)] + [(400, "  ", "Acme"), (401, None, None), (402, "alone", "x")]
+    df = spark.createDataFrame(rows, "id long, product_name string, brand_name string")
+    links = lambda: sorted(map(tuple, dedup.fuzzy_links(df, "id").collect()))
+    whole = links()
+    assert whole and all(a < b for a, b, _ in whole) and len({x[:2] for x in whole}) == len(whole)
+    monkeypatch.setattr(dedup, "SLICE_ROWS", 30)
+    plan = dedup.fuzzy_links(df, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert links() == whole
+    monkeypatch.setattr(pairs, "TABLE_PAIRS", 100)
+    monkeypatch.setattr(pairs, "SCORED_PAIRS", 10)
+    i = pairs.linked([n.lower() for _, n, _ in rows[:400]], [(b or "").lower() for _, _, b in rows[:400]], [(slice(0, 400), slice(0, 400))], dedup.PAIR_WEIGHTS, dedup.THRESHOLD)[0]
+    assert len(i) >= len(whole)
