@@ -41,3 +41,42 @@ def test_notices_alike_weigh_as_often_as_they_occur():
     want = linkage.estimate(np.array([n for n, _ in every]), levels[[i for _, i in every]])
     got = linkage.estimate(entry, levels, pairs=pairs, times=times)
     assert np.allclose(got[0], want[0], atol=1e-3) and abs(got[1] - want[1]) < 1e-3
+
+
+def test_words_of_a_task_are_counted_together():
+    import pyarrow as pa
+
+    from larder.llm import listing, matching
+
+    names = ["Acme red-hot Soup 2 x 100 g 3 oz", "Soup's soup acme", "", None, "Crème 12 kg"]
+    rows = [(n, b, o) for n in names for b in (None, "Acme", "Acme Red") for o in (None, "Bell Soup Co", "Acme")]
+    want = {}
+    for n, b, o in rows:
+        bw, ow = listing.firm_words(b), listing.firm_words(o)
+        firm = ow[0] if ow else bw[0] if bw else None
+        said = {("n", w): int(w in {*bw, *ow}) for w in listing.words_of(n, False)} if bw or ow else {}
+        said |= {(k, w): 0 for k, ws in (("o", ow), ("b", bw)) for w in ws[1:]}
+        for (k, w), beside in said.items():
+            c = want.setdefault((k, w, firm), [0, 0])
+            c[0], c[1] = c[0] + 1, c[1] + beside
+    batches = [pa.RecordBatch.from_pylist([dict(zip("xyz", r)) for r in part], pa.schema([(c, pa.string()) for c in "xyz"])) for part in (rows[:20], rows[20:])]
+    got = list(matching._count_rows(iter(batches), False))
+    assert len(got) == 1
+    table = {(r["what"], r["word"], r["firm"]): [r["listings"], r["beside"]] for r in got[0].to_pylist()}
+    assert {k: v for k, v in table.items() if k[0] != "u"} == want == {k: v for k, v in listing.word_counts(rows).items() if k[0] != "u"}
+    assert {k[1:]: v for k, v in table.items() if k[0] == "u"} == {("g 100.0", "Acme red-hot"): [9, 0], ("g 12000.0", "Crème 12 kg"): [9, 0]}
+    assert list(matching._count_rows(iter([]), False))[0].num_rows == 0
+
+
+def test_phrase_numbers_are_those_of_the_phrases():
+    import random
+
+    from larder.llm import listing
+
+    r = random.Random(3)
+    known = {(1, 2), (2, 3), (1, 2, 3), (4, 4)}
+    ids = {p: i for i, p in enumerate([(0,), (1,), (3,), (1, 2), (1, 2, 3), (4, 4)])}
+    numbers = listing.PhraseNumbers(known, ids)
+    for _ in range(300):
+        t = [r.randint(-1, 5) for _ in range(r.randint(0, 8))]
+        assert numbers.of(t) == sorted(ids[p] for p in listing.phrases_in(t, known) if p in ids)
