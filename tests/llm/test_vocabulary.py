@@ -27,6 +27,16 @@ def test_common_words_are_counted_with_every_firm(spark):
     assert {"jam", "quince"} <= common and "zetaa" not in common
 
 
+def test_names_recalled_by_other_firms_stay_coined(spark):
+    # Four notices of four firms made a brand common, then a "variant" of its own lines.
+    rows = list(dict.fromkeys(catalogue(firms=30, lines=2, listings=90)))
+    brand = rows[0][1]
+    notices = [(f"{brand} {x} recalled, lot {x}", f"Firm{x} Inc.") for x in ("abe", "bod", "cel", "dim", "eku", "fos")]
+    got = matching.vocabulary(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(notices, "product_description string, recalling_firm string"))
+    assert brand.lower() not in got.words | got.common and {"recalled", "lot"} <= got.common
+    assert got.common == listing.learn(rows, *listing.common_words([r[:3] for r in rows], notices)).common
+
+
 def test_tables_without_listings_or_lines(spark):
     empty = matching.vocabulary(spark.createDataFrame([], COLUMNS), spark.createDataFrame([], "product_description string, recalling_firm string"))
     assert not empty.phrases and not empty.common
