@@ -90,3 +90,44 @@ def test_phrase_numbers_are_those_of_the_phrases():
     for _ in range(300):
         t = [r.randint(-1, 5) for _ in range(r.randint(0, 8))]
         assert numbers.of(t) == sorted(ids[p] for p in listing.phrases_in(t, known) if p in ids)
+
+
+def test_lines_of_a_task_are_summed_together():
+    r = np.random.default_rng(5)
+    sizes = r.integers(1, 9, 60)
+    lengths = r.integers(0, 5, sizes.sum())
+    phrases = np.concatenate([np.sort(r.choice(12, n, replace=False)) for n in lengths])
+    variant = np.where(np.arange(12) % 3 == 0, np.arange(12) // 3, -1)
+    at, ends = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([[0], np.cumsum(lengths)])
+    total, both, meet, own, unnamed = 0, np.zeros((12, 12)), np.zeros((12, 12)), np.zeros(12), np.zeros(4)
+    for a, z in zip(at, at[1:]):
+        has = np.array([[p in phrases[ends[i] : ends[i + 1]] for p in range(12)] for i in range(a, z)], float)
+        if z - a > 1:
+            c = has.sum(0)
+            total, both, meet, own = total + z - a, both + has.T @ has, meet + np.outer(c, c) / (z - a - 1), own + c / (z - a - 1)
+        silent = ~has[:, ::3].any(1)
+        unnamed += has[:, ::3].sum(0) * silent.sum() / max(z - a - 1, 1)
+    for most in (1, 30, 200_000):
+        got = listing.LineSums(12)
+        got.add_lines(sizes, lengths, phrases, most)
+        assert got.total == total and all(np.allclose(x, y) for x, y in ((got.both, both), (got.meet, meet), (got.own, own)))
+    assert np.allclose(listing.unnamed_rates(variant, lengths, phrases, sizes), unnamed)
+    none = listing.LineSums(0)
+    none.add_lines(np.array([3]), np.zeros(3, int), np.zeros(0, int))
+    none.add_lines(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int))
+    assert none.total == 3
+
+
+def test_folding_by_runs_and_ingredients_one_by_one():
+    import unicodedata
+
+    from larder.llm.text import _TABLE, fold, mend
+
+    assert not any(chr(c).isascii() for c in _TABLE)
+    texts = ["Crème BRÛLÉE", "e\u0301te\u0301 ΣΑΣ, ΟΔΟΣ;", "ｆｕｌｌ，width；", "Ελλάς • ŁÓDŹ ﬁne", "Ａ\u0327\u0301b", "Я ёж", "日本 ｶﾞ"]
+    for t in texts:
+        low = unicodedata.normalize("NFKD", t.lower().translate(_TABLE))
+        assert fold(t) == "".join(c for c in low if not unicodedata.combining(c)).translate(_TABLE)
+    for t in [*texts, "Salt, SUGAR (3%) • sugar;Crème: milk. Allergens in bold.", "salt &amp; oil, a&#44;b", "sugar â€¢ salt", " , ;", "ΟΔΟΣ，ΟΔΟΣ, x", "<b>a</b>, b*"]:
+        want = {n for x in listing._ITEM.split(listing.folded(t)) for item, n in [listing.item_of(x)] if item}
+        assert listing.items_of(t) == sorted(want), (t, mend(t))
