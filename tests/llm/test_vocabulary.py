@@ -35,6 +35,11 @@ def test_names_recalled_by_other_firms_stay_coined(spark):
     got = matching.vocabulary(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(notices, "product_description string, recalling_firm string"))
     assert brand.lower() not in got.words | got.common and {"recalled", "lot"} <= got.common
     assert got.common == listing.learn(rows, *listing.common_words([r[:3] for r in rows], notices)).common
+    # No notices whatever change what the words of the catalogue mean: here a line and its brand are recalled by 130 firms.
+    line = next(x for x in rows[0][0].split() if x.lower() not in got.words | got.common and x != brand)
+    many = [(f"{line} {brand} recalled", f"Far{a}{b} Inc.") for a in "abcdefghij" for b in "bdfgklmnprstv"]
+    more = matching.vocabulary(spark.createDataFrame(rows, COLUMNS), spark.createDataFrame(many, "product_description string, recalling_firm string"))
+    assert more.phrases == got.phrases == matching.vocabulary(spark.createDataFrame(rows, COLUMNS)).phrases and more.plain == got.plain
 
 
 def test_tables_without_listings_or_lines(spark):
